@@ -15,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; a longer document makes a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Documents that a kernel handles at once, for those that keep numbers for each.
+BLOCK_ROWS = 4096
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,7 +86,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         lo = 0
         while lo < whole.n:
             hi = int(np.searchsorted(whole.start, whole.start[lo] + limit, "right")) - 1
-            hi = min(max(hi, lo + 1), whole.n)
+            hi = min(max(hi, lo + 1), lo + BLOCK_ROWS, whole.n)
             s = whole.start[lo : hi + 1]
             yield batch.slice(lo, hi - lo), Block(whole.buf[s[0] : s[-1]], s - s[0])
             lo = hi

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
+from .fingerprint import edited_fingerprints
 from .quality import quality_rules
 
 
@@ -14,12 +16,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.disclosures(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda k: k == F.lit(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts[:4], F.sha2(pii.listed(F.col("spans"), True), 256).alias("base_sha256"), pii.listed(F.col("spans"), False).alias("spans"), counts[4])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"), clean=False, keep=["doc_id"])
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules}
+    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
