@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import pii
 from .fingerprint import edited_fingerprints
+from .neardup import near_duplicates
 from .quality import quality_rules
+from .repeats import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400, keep="none")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints)}
+    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op9_repeats, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
