@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import pii
 from .fingerprint import edited_fingerprints
 from .neardup import near_duplicates
+from .packing import pack
 from .quality import quality_rules
 from .repeats import remove_repeats
 
@@ -32,6 +33,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400, keep="none")
 
@@ -41,7 +48,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op9_repeats, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op7_packing, op9_repeats, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
