@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .repeats import remove_repeats
+from .sharding import shard
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400, keep="none")
 
@@ -48,7 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op7_packing, op9_repeats, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op7_packing, op8_sharding, op9_repeats, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
