@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import pii, toxicity
 from .fingerprint import edited_fingerprints
 from .neardup import near_duplicates
 from .packing import pack
@@ -26,6 +26,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:4], F.sha2(pii.listed(F.col("spans"), True), 256).alias("base_sha256"), pii.listed(F.col("spans"), False).alias("spans"), counts[4])
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"), clean=False, keep=["doc_id"])
 
@@ -53,7 +58,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_quality_rules, op6_fingerprints, op7_packing, op8_sharding, op9_repeats, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality_rules, op6_fingerprints, op7_packing, op8_sharding, op9_repeats, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
