@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import pii, toxicity
 from .fingerprint import edited_fingerprints
+from .linededup import dedup_lines
+from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
@@ -35,6 +37,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"), clean=False, keep=["doc_id"])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep=["doc_id", "source", "lang"])
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,7 +69,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality_rules, op6_fingerprints, op7_packing, op8_sharding, op9_repeats, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality_rules, op4_line_dedup, op5_mixing, op6_fingerprints, op7_packing, op8_sharding, op9_repeats, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
