@@ -113,10 +113,9 @@ def disclosures(df: DataFrame, id: str = "doc_id", text: str = "text", support:
     pairs = contexts.groupBy("entity", "term", "rid").agg(F.min("ctx").alias("ctx")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.countDistinct("ctx").alias("n_ctx"))
     pairs = stored(pairs.filter(F.col("n_ctx") >= support))
     n_c = hits.filter("kind is not null").select("entity", "rid").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    # documents with each term, over the whole corpus; the list of terms is broadcast only if the planner finds it small
-    wanted = stored(pairs.select("term").distinct())
+    # documents with each term, over the whole corpus: counted first, so that a frequent term meets the pairs once
     words = src.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
     log_n = F.lit(math.log2(max(total, 1)))
     share = pairs.join(n_c, "entity").join(n_t, "term").select(
         "entity", "term", ((log_n + F.log2("n_ct") - F.log2("n_c") - F.log2(F.greatest("n_t", "n_ct"))) / F.nullif(log_n - F.log2("n_c"), F.lit(0.0))).alias("disclosure"),
