@@ -778,7 +778,7 @@ def _index(c, args, env):
         (i, e), (j, f) = to_number(c.value(args[1], env)), to_number(c.value(args[2], env)) if len(args) > 2 else (F.lit(1.0), None)
     i, j = trunc(i), trunc(j)
     err = first_error(e, f, bad((i < 1) | (j < 1) | (i > a.shape[0]) | (j > a.shape[1]), "#REF!"))
-    return choose([((i == r + 1) & (j == k + 1), v) for r, row in enumerate(a.rows) for k, v in enumerate(row)], lit(None), err)
+    return _pick(a.cells(), (i - 1) * a.shape[1] + j, None, err)
 
 
 def _position(c, needle: Val, cells: list[Val], kind: int, last: bool = False) -> tuple[Column, Column | None]:
@@ -821,8 +821,21 @@ def _order(v: Val, other: Val) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("int")
 
 
-def _pick(cells: list[Val], at: Column, missing: Val, err: Column | None) -> Val:
-    return choose([(at == i + 1, v) for i, v in enumerate(cells)], missing, err)
+def _pick(cells: list[Val], at: Column, missing: Val | None, err: Column | None) -> Val:
+    """The at-th of the cells (from 1), by one array for each lane; where there is none, `missing`."""
+    kinds = {"n": "double", "s": "string", "b": "boolean", "err": "string"}
+
+    def lane(k):
+        if all(getattr(v, k) is None for v in cells):
+            return None
+        return F.get(F.array(*[getattr(v, k) if getattr(v, k) is not None else F.lit(None).cast(kinds[k]) for v in cells]), (at - 1).cast("int"))
+
+    found = Val(lane("n"), lane("s"), lane("b"), lane("err"), any(v.blank for v in cells))
+    if missing is not None:
+        return choose([(at == 0, missing)], found, err)
+    bad_ = first_error(err, found.err)
+    fix = lambda c: None if c is None else c if err is None else F.when(err.isNull(), c)
+    return Val(fix(found.n), fix(found.s), fix(found.b), bad_, found.blank)
 
 
 @tree("MATCH", 2, 3)
@@ -852,7 +865,7 @@ def _table_lookup(name, flip):
         near = bool(_constant(c, _at(args, 3), env, 1))
         at, e = _position(c, c.value(args[0], env), [r[0] for r in rows], 1 if near else 0)
         err = first_error(e, ke, bad(k < 1, "#VALUE!"), bad(k > len(rows[0]), "#REF!"), bad(at == 0, "#N/A"))
-        return choose([((at == i + 1) & (k == j + 1), v) for i, r in enumerate(rows) for j, v in enumerate(r)], lit(None), err)
+        return _pick([v for r in rows for v in r], (at - 1) * len(rows[0]) + k, None, err)
 
     tree(name, 3, 4)(call)
 
@@ -871,7 +884,7 @@ def _lookup(c, args, env):
     else:
         keys, out = [r[0] for r in a.rows], [r[-1] for r in a.rows]
     at, e = _position(c, c.value(args[0], env), keys, 1)
-    return _pick(out, at, lit(None), first_error(e, bad(at == 0, "#N/A")))
+    return _pick(out, at, None, first_error(e, bad(at == 0, "#N/A")))
 
 
 @tree("XLOOKUP", 3, 6)

@@ -248,7 +248,7 @@ def _lookup(t):
     return lookup.approximate(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", t("supplier"), "s_acctbal", {"bracket": "s_acctbal", "supplier": "s_suppkey"}).drop("c_acctbal")
 
 
-@plan("fn_vlookup_approximate", "SELECT event_id, o_orderdate AS day FROM events ASOF LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS o_orderdate, epoch(o_orderdate) AS at FROM orders) ON epoch(ts) >= at")
+@plan("fn_vlookup_approximate", "SELECT event_id, o_orderdate AS day FROM events ASOF LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS o_orderdate, epoch(o_orderdate) AS t0 FROM orders) ON epoch(ts) >= t0")
 def _asof(t):
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     events = t("events").select("event_id", seconds("ts").alias("at"))
@@ -279,7 +279,7 @@ part("fn_choose", 'CHOOSE(MOD(p_size,3)+1,"a","b","c")', "CASE p_size%3 WHEN 0 T
 part("fn_vlookup_constant", 'VLOOKUP(MOD(p_size,4),{0,"x";1,"y";2,"z"},2,FALSE)', "CASE p_size%4 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'z' END", False, errors="CASE WHEN p_size%4=3 THEN '#N/A' END")
 part("fn_xlookup_constant", 'XLOOKUP(p_brand,{"Brand#11","Brand#12"},{1,2},0)', "CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 2 ELSE 0 END")
 _LETTERS = "CASE WHEN p_size>26 THEN chr(64+(p_size-1)//26) ELSE '' END||chr(65+(p_size-1)%26)"
-part("fn_address", "ADDRESS(p_partkey,p_size)", f"'$'||{_LETTERS}||'$'||p_partkey", False)
+part("fn_address", "ADDRESS(p_partkey+1,p_size)", f"'$'||{_LETTERS}||'$'||(p_partkey+1)", False)
 part("fn_column", "COLUMN(p_size)", "5")
 part("fn_columns", "COLUMNS({1,2,3})+0*p_size", "3")
 part("fn_cell", 'CELL("type",p_name)&CELL("type",p_size)', "'lv'", False)
@@ -338,7 +338,7 @@ part("fn_pi", "PI()*p_size", "pi()*p_size")
 
 
 def _erf(x: str) -> str:
-    return f"2/sqrt(pi())*list_sum([pow(-1,n)*pow({x},2*n+1)/(factorial(n)*(2*n+1)) for n in range(0,30)])"
+    return f"2/sqrt(pi())*list_sum([pow(-1,n)*pow({x},2*n+1)/(factorial(CAST(n AS INTEGER))*(2*n+1)) for n in range(0,30)])"
 
 
 part("fn_erfc", "ERFC(p_size/40)", f"1-{_erf('(p_size/40.0)')}")
