@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import MOST_CELLS, Arr, Compiler, Lambda, Rng
 from .criteria import matches
-from .scalar import VALUES, bad, date_of, numbers, text_of, trunc, weekdays_between, whole
+from .scalar import VALUES, bad, bind, date_of, numbers, text_of, trunc, weekdays_between, whole
 from .values import Unsupported, Val, choose, error, first_error, lit, logical, num, text, to_bool, to_number, to_text
 
 FUNCTIONS: dict[str, tuple[int, int | None, str, Callable]] = {n: (a, b, "value", f) for n, (a, b, f) in VALUES.items()}
@@ -493,6 +493,11 @@ def _xnpv(c, args, env):
 
 def _newton(flows: Column, ages: Column, guess: Column, tries: int) -> tuple[Column, Column]:
     """The rate at which flows are worth nothing, and whether the last step was small."""
+    out = bind(lambda f, a, g: _steps(f, a, g, tries), flows, ages, guess)
+    return out["r"], F.abs(out["step"]) < 1e-7
+
+
+def _steps(flows: Column, ages: Column, guess: Column, tries: int) -> Column:
     start = F.struct(guess.alias("r"), F.lit(1.0).alias("step"))
 
     def step(acc, _):
@@ -504,8 +509,7 @@ def _newton(flows: Column, ages: Column, guess: Column, tries: int) -> tuple[Col
         done = F.abs(acc["step"]) < 1e-12
         return F.struct(F.when(done, r).otherwise(r - move).alias("r"), F.when(done, acc["step"]).otherwise(move).alias("step"))
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), start, step)
-    return out["r"], F.abs(out["step"]) < 1e-7
+    return F.aggregate(F.sequence(F.lit(1), F.lit(tries)), start, step)
 
 
 def _signs(flows: Column) -> Column:

@@ -200,7 +200,17 @@ def _floor(a, b):
 # -- statistics ------------------------------------------------------------------------------------------------------
 
 
+def bind(fn: Callable[..., Column], *cols: Column) -> Column:
+    """fn of values that are computed once, however often fn and its inner loops name them."""
+    one = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(cols)])
+    return F.get(F.transform(F.array(one), lambda s: fn(*[s[f"b{i}"] for i in range(len(cols))])), F.lit(0))
+
+
 def erfc(x: Column) -> Column:
+    return bind(_erfc_of, x)
+
+
+def _erfc_of(x: Column) -> Column:
     """By the positive series exp(-x^2) sum (2x^2)^n x / (2n+1)!! below 3, by its continued fraction beyond."""
     a = F.abs(x)
     fold = lambda n, start, step: F.aggregate(F.sequence(F.lit(n), F.lit(1), F.lit(-1)), start, step)
@@ -217,17 +227,23 @@ def normal_cdf(z: Column) -> Column:
 
 
 def probit(p: Column) -> Column:
+    return bind(_probit_of, p)
+
+
+def _probit_of(p: Column) -> Column:
     """A rational first guess and two steps of Halley's method on the normal distribution."""
     q = F.least(p, 1 - p)
     t = F.sqrt(-2 * F.ln(q))
     guess = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
 
     def step(z, _):
+        return bind(halley, z)
+
+    def halley(z):
         u = (0.5 * erfc(z / math.sqrt(2)) - q) * -math.sqrt(2 * math.pi) * F.exp(z * z / 2)
         return z - u / (1 + z * u / 2)
 
-    z = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), guess, step)
-    return F.when(p < 0.5, -z).otherwise(z)
+    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), guess, step, lambda z: F.when(p < 0.5, -z).otherwise(z))
 
 
 @value("ERFC", 1)
