@@ -365,8 +365,7 @@ def date_of(serial: Column) -> Column:
 
 
 def serial_of(day: Column) -> Column:
-    n = F.datediff(day, F.lit("1899-12-30").cast("date")).cast("double")
-    return F.when(n < 61, n - 1).otherwise(n)
+    return bind(lambda n: F.when(n < 61, n - 1).otherwise(n), F.datediff(day, F.lit("1899-12-30").cast("date")).cast("double"))
 
 
 def _day(v: Val) -> tuple[Column, Column | None]:
@@ -379,7 +378,7 @@ def _part(name: str, fn: Callable[[Column], Column], zero: int, leap: int):
     @value(name, 1)
     def call(v):
         k, e = _day(v)
-        return num(F.when(k == 0, float(zero)).when(k == 60, float(leap)).otherwise(fn(date_of(k)).cast("double")), e, False)
+        return num(bind(lambda k: F.when(k == 0, float(zero)).when(k == 60, float(leap)).otherwise(fn(date_of(k)).cast("double")), k), e, False)
 
 
 _part("YEAR", F.year, 1900, 1900)
@@ -390,14 +389,24 @@ _part("DAY", F.dayofmonth, 0, 29)
 @value("DATE", 3)
 def _date(year, month, day):
     (y, m, d), e = numbers(year, month, day)
-    y, m, d = trunc(y), trunc(m), trunc(d)
-    y = F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y)
-    months = y * 12 + m - 1
-    far = (months < 1899 * 12) | (months > 10_000 * 12) | (F.abs(d) > 4_000_000)
-    safe = F.when(~far, months)
-    first = F.make_date(F.floor(safe / 12).cast("int"), (safe % 12).cast("int") + 1, F.lit(1))
-    s = serial_of(F.when(~far, F.date_add(first, F.when(~far, d.try_cast("int")) - 1)))
-    return num(s, first_error(e, bad(F.coalesce((s < 0) | (s > LAST_DAY), F.lit(True)))), False)
+    s = bind(lambda y, m, d: _serial_of_parts(trunc(y), trunc(m), trunc(d)), y, m, d)
+    return bound(s, e, lambda s: bad(F.coalesce((s < 0) | (s > LAST_DAY), F.lit(True))))
+
+
+def bound(col: Column, err: Column | None, refuse: Callable[[Column], Column]) -> Val:
+    """A number and what refuses it, from one evaluation of the number."""
+    both = bind(lambda x: F.struct(x.alias("x"), refuse(x).alias("e")), col)
+    return num(both["x"], first_error(err, both["e"]), False)
+
+
+def _serial_of_parts(y: Column, m: Column, d: Column) -> Column:
+    def of(months, d):
+        far = (months < 1899 * 12) | (months > 10_000 * 12) | (F.abs(d) > 4_000_000)
+        safe = F.when(~far, months)
+        first = F.make_date(F.floor(safe / 12).cast("int"), (safe % 12).cast("int") + 1, F.lit(1))
+        return serial_of(F.when(~far, F.date_add(first, F.when(~far, d.try_cast("int")) - 1)))
+
+    return bind(of, F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y) * 12 + m - 1, d)
 
 
 @value("DATEVALUE", 1)
@@ -435,15 +444,13 @@ def _moved(v, months):
 @value("EDATE", 2)
 def _edate(v, months):
     day, _, e = _moved(v, months)
-    s = serial_of(day)
-    return num(s, first_error(e, bad(F.coalesce((s < 1) | (s > LAST_DAY), F.lit(True)))), False)
+    return bound(serial_of(day), e, lambda s: bad(F.coalesce((s < 1) | (s > LAST_DAY), F.lit(True))))
 
 
 @value("EOMONTH", 2)
 def _eomonth(v, months):
     day, _, e = _moved(v, months)
-    s = serial_of(F.last_day(day))
-    return num(s, first_error(e, bad(F.coalesce((s < 1) | (s > LAST_DAY), F.lit(True)))), False)
+    return bound(serial_of(F.last_day(day)), e, lambda s: bad(F.coalesce((s < 1) | (s > LAST_DAY), F.lit(True))))
 
 
 def days360(a: Column, b: Column, european: Column) -> tuple[Column, Column]:
@@ -464,8 +471,8 @@ def days360(a: Column, b: Column, european: Column) -> tuple[Column, Column]:
 def _days360(start, end, method=None):
     (a, e), (b, f) = _day(start), _day(end)
     m, me = to_bool(lit(False) if method is None else method)
-    days, odd = days360(a, b, m)
-    return num(days, first_error(e, f, me, bad(odd, "#UNSUPPORTED!")), False)
+    both = bind(lambda a, b, m: F.struct(*[x.alias(n) for x, n in zip(days360(a, b, m), ("days", "odd"), strict=True)]), a, b, m)
+    return num(both["days"], first_error(e, f, me, bad(both["odd"], "#UNSUPPORTED!")), False)
 
 
 @value("YEARFRAC", 2, 3)
@@ -473,7 +480,8 @@ def _yearfrac(start, end, basis=None):
     (a, e), (b, f) = _day(start), _day(end)
     k, ke = to_number(lit(0) if basis is None else basis)
     k = trunc(k)
-    days, odd = days360(a, b, k == 4)
+    both = bind(lambda a, b, m: F.struct(*[x.alias(n) for x, n in zip(days360(a, b, m), ("days", "odd"), strict=True)]), a, b, k == 4)
+    days, odd = both["days"], both["odd"]
     out = F.when(k.isin(0.0, 4.0), days / 360).when(k == 2, (b - a) / 360).otherwise((b - a) / 365)
     return num(out, first_error(e, f, ke, bad((k < 0) | (k > 4)), bad((k == 1) | (b < a) | (odd & (k == 0)), "#UNSUPPORTED!")), False)
 

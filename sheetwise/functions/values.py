@@ -96,7 +96,7 @@ def of_column(col: Column, kind: str) -> Val:
         return Val(b=col, blank=True)
     if kind == "date" or kind.startswith("timestamp"):
         days = F.datediff(col.cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
-        days = F.when(days < 61, days - 1).otherwise(days)  # the calendar has a 29 February 1900
+        days = days - F.when(col.cast("date") < F.lit("1900-03-01").cast("date"), 1).otherwise(0)  # the calendar has a 29 February 1900
         if kind != "date":
             at = col.cast("timestamp_ntz")
             days = days + (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)) / 86400.0
