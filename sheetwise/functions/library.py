@@ -568,7 +568,7 @@ def _workday(c, args, env):
         back = weekdays_between(day, a - 1) - F.size(F.filter(free, lambda d: (d < a) & (d >= day)))
         return F.when(sign > 0, forward).otherwise(back)
 
-    start = a + sign * F.floor(F.abs(n) / 5) * 7
+    start = a + sign * F.greatest(F.lit(0), F.floor((F.abs(n) - 1) / 5)) * 7
     span = F.sequence(F.lit(0), (left * 2 + 14).cast("int"))
     got = F.aggregate(span, start, lambda day, _: F.when(worked(day) < F.abs(n), day + sign).otherwise(day))
     return num(F.when(n == 0, a).otherwise(got), first_error(e, fe, bad((got < 1) | (a < 0))), False)
