@@ -34,7 +34,8 @@ from ._bitmap import Bitmap
 from ._store import stored
 from ._text import U64, Block, blocks, mix, randoms
 
-LENGTH, MOST_RUNS = 400, 256
+#: Runs of one anchor that a task compares: some 4 MB of text.
+LENGTH, MOST_RUNS = 400, 8192
 #: Bytes of text whose places fit beside a hash in 64 bits; longer texts are taken in overlapping pieces.
 PIECE, PLACE_BITS = 1 << 20, 21
 
