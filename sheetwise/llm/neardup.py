@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import Bitmap
 from ._store import cut, stored
 from ._text import U64, Block, blocks, distinct, hash_runs, lists, mix, randoms, rows, shingles, tokens
 from .components import components
 
-ROWS, MISS, BITS = 6, 1e-6, 512
+ROWS, MISS = 6, 1e-6
+#: MinHash samples folded into a sketch (the bands use the first of them), and its size.
+SAMPLES, BITS = 720, 2048
 WORDS = BITS // 64
 
 
@@ -38,12 +41,14 @@ def bands_for(percent: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - t**ROWS)))
 
 
-def most_bits(percent: int, samples: int) -> int:
-    """The largest population count of a pair's XOR that the threshold allows, with five standard deviations."""
+def most_bits(percent: int) -> int:
+    """The largest population count of a pair's XOR that the threshold allows, with five standard deviations: of the
+    number of differing samples, and of the bits that meet."""
     t = percent / 100
-    differ = samples * (1 - t) + 5 * math.sqrt(samples * t * (1 - t))
-    odd = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
-    return math.ceil(odd + 3 * math.sqrt(BITS) / 4)
+    balls = 2 * SAMPLES * (1 - t)
+    odd = lambda m: BITS / 2 * (1 - (1 - 2 / BITS) ** m)
+    sampled = odd(balls + 2 * math.sqrt(SAMPLES * t * (1 - t))) - odd(balls)
+    return math.ceil(odd(balls) + 5 * math.hypot(sampled, balls * math.sqrt(2 / BITS)))
 
 
 def document_sets(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +69,7 @@ def digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(h: np.ndarray, first: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """For each document the bands' keys (n x bands) and the odd sketch (n x WORDS)."""
-    n, k = len(first) - 1, bands * ROWS
+    n, k = len(first) - 1, max(SAMPLES, bands * ROWS)
     some = np.flatnonzero(np.diff(first))
     keys, sketch = np.zeros((n, bands), np.int64), np.zeros((n, WORDS), np.int64)
     if not len(some):
@@ -81,7 +86,8 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: int) -> tuple[np.ndarray
         for i in range(ROWS):
             key = mix(key ^ values[j * ROWS + i]) + U64(i)
         keys[some, j] = key.view(np.int64)
-    bit = (mix(values ^ (np.arange(k, dtype=U64)[:, None] << U64(33))) % U64(BITS)).astype(np.int64)
+    values = values[:SAMPLES]
+    bit = (mix(values ^ (np.arange(SAMPLES, dtype=U64)[:, None] << U64(33))) % U64(BITS)).astype(np.int64)
     odd = np.bincount((bit + np.arange(len(some)) * BITS).ravel(), minlength=len(some) * BITS) & 1
     sketch[some] = np.packbits(odd.astype(np.uint8).reshape(len(some), BITS), axis=1, bitorder="little").view(np.int64)
     return keys, sketch
@@ -99,7 +105,7 @@ class _Search:
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, percent: int, limit: int):
         self.nodes, self.percent, self.limit = nodes, percent, limit
-        banded = nodes.select("node", F.explode("keys").alias("key"))
+        banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
         shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
         self.buckets = stored(banded.join(shared, "key"))  # only what two classes share
         self.sketches = nodes.select("node", *_SKETCH)
@@ -110,7 +116,14 @@ class _Search:
     def _sets(self, texts: DataFrame) -> DataFrame:
         """(node, set) for each class with a bucket: read again from one of its documents, known by its digest."""
         wanted = stored(self.buckets.select("node").distinct().join(self.nodes.select("node", "rep", "c1", "c2"), "node"))
-        found = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("node", "c1", "c2", "text")
+        ids = Bitmap(wanted.select(F.xxhash64("rep").alias("key")), "key", wanted.count())
+
+        def pick(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(ids.perhaps(batch.column(2).to_numpy()))).select([0, 1])
+
+        likely = texts.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(pick, "id long, text string")  # other texts needn't move
+        found = likely.join(wanted, likely["id"].eqNullSafe(wanted["rep"])).select("node", "c1", "c2", "text")
 
         def run(batches):
             for batch, b in blocks(batches):
@@ -148,10 +161,10 @@ class _Search:
         self.labels = components(self.links)
 
     def _placed(self) -> DataFrame:
-        """The buckets (key, node, comp)."""
+        """The buckets (key, band, node, comp)."""
         if self.labels is None:
             return self.buckets.withColumn("comp", F.col("node"))
-        return self.buckets.join(self.labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        return self.buckets.join(self.labels, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
 
     def star(self, seed: int) -> None:
         """Compares each class with its bucket's pivot."""
@@ -168,10 +181,12 @@ class _Search:
         placed = cut(self._placed())
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.comp").alias("main"))
-        rows_ = cut(placed.join(main, "key").join(self.sketches, "node"))
+        rows_ = cut(placed.join(main, "key").join(self.nodes.select("node", "keys", *_SKETCH), "node"))
         x, y = rows_.filter("comp <> main").alias("x"), rows_.alias("y")
         once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & (_apart("x", "y") <= self.limit))
+        # a pair that shares several bands comes out of the first
+        first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
+        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & (_apart("x", "y") <= self.limit) & first)
         pairs = close.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         self._join(self._confirm(stored(pairs)))
 
@@ -196,7 +211,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     grouped = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _SKETCH])
     nodes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "*"))
 
-    search = _Search(nodes, texts, percent, most_bits(percent, bands * ROWS))
+    search = _Search(nodes, texts, percent, most_bits(percent))
     for seed in range(stars):
         search.star(seed)
     search.rest()

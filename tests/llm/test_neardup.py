@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from sheetwise.llm._text import block
 from sheetwise.llm.components import components
-from sheetwise.llm.neardup import BITS, ROWS, bands_for, document_sets, most_bits, near_duplicates, signatures
+from sheetwise.llm.neardup import BITS, SAMPLES, bands_for, document_sets, most_bits, near_duplicates, signatures
 
 
 def brute(docs, percent):
@@ -75,8 +75,8 @@ def test_odd_sketch_estimates_high_similarities():
     true = len(a & b) / len(a | b)
     _, sketch = signatures(h, first, bands)
     bits = int(np.unpackbits((sketch[0] ^ sketch[1]).view(np.uint8)).sum())
-    estimate = 1 + BITS / (4 * bands * ROWS) * np.log(1 - 2 * bits / BITS)
-    assert abs(estimate - true) < 0.1 and most_bits(85, bands * ROWS) < most_bits(80, bands * ROWS) < BITS / 2
+    estimate = 1 + BITS / (4 * SAMPLES) * np.log(1 - 2 * bits / BITS)
+    assert abs(estimate - true) < 0.05 and most_bits(85) < most_bits(80) < BITS / 2
 
 
 def test_components(spark):
