@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._store import cut, stored
 from ._text import Block, hash_runs, rows, tokens
 
-TOPIC_BITS, MOST_CELLS, ROUNDS, TEMPER, TRIM = 3, 100_000, 50, 0.8, 3.0
+TOPIC_BITS, MOST_CELLS, ROUNDS, TEMPER, TRIM = 3, 100_000, 50, 0.9, 1.5
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -46,14 +46,14 @@ def _wanted(present: dict[str, float], given: dict[str, float] | None, temper: f
     return {k: (v / total if total else 0.0) for k, v in raw.items()}
 
 
-def rake(cells: np.ndarray, tokens_: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
+def rake(cells: np.ndarray, tokens_: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, trim: float = TRIM) -> np.ndarray:
     """Weights of the cells (cells: a code for each dimension) such that the weighted tokens' shares meet the targets.
-    Between rounds weights above TRIM times the mean are cut, so that no tiny cell sets the scale; targets that
+    Between rounds weights above `trim` times the mean are cut, so that no tiny cell sets the scale; targets that
     contradict the data by more than that are met as far as this bound allows."""
     w = np.ones(len(tokens_))
     for i in range(rounds):
         if i:
-            w = np.minimum(w, TRIM * (w * tokens_).sum() / max(1.0, tokens_.sum()))
+            w = np.minimum(w, trim * (w * tokens_).sum() / max(1.0, tokens_.sum()))
         moved = 0.0
         for d, target in enumerate(targets):
             now = np.bincount(cells[:, d], w * tokens_, minlength=len(target))
@@ -66,13 +66,13 @@ def rake(cells: np.ndarray, tokens_: np.ndarray, targets: list[np.ndarray], roun
     return w
 
 
-def _rake_joined(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+def _rake_joined(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, trim: float) -> DataFrame:
     """rake() by Spark joins, for very many cells."""
     cells = cells.withColumn("weight", F.lit(1.0))
     for i in range(rounds):
         if i:
             mean = cells.agg(F.sum(F.col("weight") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0] or 0.0
-            cells = cells.withColumn("weight", F.least("weight", F.lit(TRIM * mean)))
+            cells = cells.withColumn("weight", F.least("weight", F.lit(trim * mean)))
         for d in DIMENSIONS:
             now = cells.groupBy(d).agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("now"))
             factor = now.join(targets[d], d).select(d, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("factor"))
@@ -80,7 +80,7 @@ def _rake_joined(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -
     return cells
 
 
-def weights(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, most_cells: int = MOST_CELLS) -> DataFrame:
+def weights(measured: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, most_cells: int = MOST_CELLS, trim: float = TRIM) -> DataFrame:
     """(source, lang, topic, weight, probability) of the cells of a measured table."""
     spark = measured.sparkSession
     targets = targets or {}
@@ -95,7 +95,7 @@ def weights(measured: DataFrame, targets: dict[str, dict[str, float]] | None = N
             want = _wanted(present, targets.get(d), temper)
             codes.append(code)
             shares.append(np.array([want.get(n, 0.0) for n in names]))
-        w = rake(np.stack(codes, axis=1), tokens_, shares, rounds) if len(found) else tokens_
+        w = rake(np.stack(codes, axis=1), tokens_, shares, rounds, trim) if len(found) else tokens_
         top = w[tokens_ > 0].max() if (tokens_ > 0).any() else 1.0
         data = [(*map(str, k), float(x), float(min(1.0, x / top)) if t > 0 else 1.0) for k, x, t in zip(found[list(DIMENSIONS)].itertuples(index=False), w, tokens_, strict=True)]
         return spark.createDataFrame(data, "source string, lang string, topic string, weight double, probability double")
@@ -107,12 +107,12 @@ def weights(measured: DataFrame, targets: dict[str, dict[str, float]] | None = N
         raw_table = stored(now.select(d, raw.cast("double").alias("raw")))
         total = raw_table.agg(F.sum("raw")).first()[0] or 1.0
         tables[d] = raw_table.select(d, (F.col("raw") / total).alias("share"))
-    raked = stored(_rake_joined(cells, tables, min(rounds, 15)))
+    raked = stored(_rake_joined(cells, tables, min(rounds, 15), trim))
     top = raked.filter("n_tokens > 0").agg(F.max("weight")).first()[0] or 1.0
     return raked.select(*DIMENSIONS, "weight", F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.col("weight") / top)).otherwise(1.0).alias("probability"))
 
 
-def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, seed: int = 1, keep: list[str] | None = None, rounds: int = ROUNDS, most_cells: int = MOST_CELLS) -> DataFrame:
+def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, seed: int = 1, keep: list[str] | None = None, rounds: int = ROUNDS, most_cells: int = MOST_CELLS, trim: float = TRIM) -> DataFrame:
     """df (or its columns `keep`) with n_tokens, topic, weight, probability and kept. Columns source and lang are read;
     an own column topic is used as it is."""
     new = ["n_tokens", "weight", "probability", "kept"]
@@ -132,7 +132,7 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", targets:
         return out.withColumn("_topic", F.col("_own")) if own else out
 
     cells = measured([]).select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens")
-    fitted = weights(cells, targets, temper, rounds, most_cells).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "probability")
+    fitted = weights(cells, targets, temper, rounds, most_cells, trim).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "probability")
     luck = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`"), F.col("_source"), F.col("_lang"), F.col("n_tokens"), F.lit(seed)), 11) / float(1 << 53)
     out = measured(list(dict.fromkeys([*names, id]))).join(fitted, ["_source", "_lang", "_topic"])
     got = [F.col(f"`{c}`") for c in names if not (c == "topic" and own)]
