@@ -7,6 +7,7 @@ multipliers, finished by a mixer, hence no structured collisions.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Documents that a kernel handles at once, for those that keep numbers for each.
 BLOCK_ROWS = 4096
 
@@ -51,6 +52,30 @@ def position_table(n: int) -> np.ndarray:
     return _POSITIONS
 
 
+#: Rows of documents that Spark hands to Python at once: they may be long.
+BATCH_ROWS = 2000
+_LIBC: ctypes.CDLL | None = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker lives on between tasks and would keep it."""
+    global _LIBC
+    pa.default_memory_pool().release_unused()
+    try:
+        _LIBC = _LIBC or ctypes.CDLL(None)
+        _LIBC.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, where it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Block:
     """Adjacent documents: `buf` bytes, document d is buf[start[d]:start[d + 1]]."""
 
@@ -90,6 +115,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             s = whole.start[lo : hi + 1]
             yield batch.slice(lo, hi - lo), Block(whole.buf[s[0] : s[-1]], s - s[0])
             lo = hi
+        del batch, whole
+        release()
 
 
 def tokens(b: Block, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,4 +207,5 @@ def rows(df, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays(got + [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=keep + names)
 
     need = list(dict.fromkeys([*keep, text]))
+    small_batches(df.sparkSession)
     return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)

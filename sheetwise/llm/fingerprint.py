@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Block, block, blocks, hash_runs, mix, per_document, rows, shingles, tokens
+from ._text import U64, Block, block, blocks, hash_runs, mix, per_document, rows, shingles, small_batches, tokens
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _ROUTES: np.ndarray | None = None
@@ -90,6 +90,7 @@ def _ordered(df: DataFrame, parts: int) -> DataFrame:
     """df (id, text) in buckets of descending id, each with the first rows of the next bucket as `halo` behind its
     own; the last bucket's is the very first row. Only one pass shuffles the texts."""
     spark = df.sparkSession
+    small_batches(spark)
     least = -(2**63)
     ids = df.select(F.coalesce("id", F.lit(least)).alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []

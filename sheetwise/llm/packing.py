@@ -116,7 +116,7 @@ def tokenised(df: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     def run(batches):
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), {}
-        for batch, b in blocks(batches):
+        for batch, b in blocks(batches, limit=2 << 20):
             ids, first = enc.encode(b)
             source = batch.column(batch.schema.get_field_index("source")).to_pylist()
             end = np.array([end_id], enc.dtype).tobytes()
