@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import GENUINE, LARGEST, Val, choose, compare, error, first_error, general, guarded, lit, logical, num, parse_date, parse_number, text, to_bool, to_number, to_text
+from .values import GENUINE, LARGEST, Val, bind, choose, compare, error, first_error, general, guarded, lit, logical, num, parse_date, parse_number, text, to_bool, to_number, to_text
 
 VALUES: dict[str, tuple[int, int, Callable[..., Val]]] = {}
 
@@ -162,6 +162,10 @@ def _quotient(a, b):
 
 
 def decimal_places(x: Column, d: Column, how: str) -> Column:
+    return bind(lambda x, d: _decimal_places(x, d, how), x, d)
+
+
+def _decimal_places(x: Column, d: Column, how: str) -> Column:
     """Rounding of the displayed decimal: the scaled number is first read to 15 digits, so 1.005 is 1.005."""
     scale = F.pow(F.lit(10.0), F.abs(d))
     y = F.when(d >= 0, F.abs(x) * scale).otherwise(F.abs(x) / scale)
@@ -200,12 +204,6 @@ def _floor(a, b):
 # -- statistics ------------------------------------------------------------------------------------------------------
 
 
-def bind(fn: Callable[..., Column], *cols: Column) -> Column:
-    """fn of values that are computed once, however often fn and its inner loops name them."""
-    one = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(cols)])
-    return F.get(F.transform(F.array(one), lambda s: fn(*[s[f"b{i}"] for i in range(len(cols))])), F.lit(0))
-
-
 def erfc(x: Column) -> Column:
     return bind(_erfc_of, x)
 

@@ -7,6 +7,7 @@ costs in Spark. Errors are data: they travel leftmost first and are never raised
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -106,6 +107,12 @@ def of_column(col: Column, kind: str) -> Val:
     raise Unsupported(f"a column of type {kind}")
 
 
+def bind(fn: Callable[..., Column], *cols: Column) -> Column:
+    """fn of values that are computed once, however often fn and its inner loops name them."""
+    one = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(cols)])
+    return F.get(F.transform(F.array(one), lambda s: fn(*[s[f"b{i}"] for i in range(len(cols))])), F.lit(0))
+
+
 # -- coercions -------------------------------------------------------------------------------------------------------
 
 _NUMBER = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)?(\.\d*)?([eE][+-]?\d+)?$"
@@ -119,6 +126,10 @@ def parse_date(s: Column) -> Column:
 
 
 def parse_number(s: Column) -> Column:
+    return bind(_parse_number, s)
+
+
+def _parse_number(s: Column) -> Column:
     """The number that a text stands for (grouping, $, %, parentheses, dates, times), else null."""
     t = F.trim(s)
     inside = F.regexp_extract(t, r"^\((.*)\)$", 1)
@@ -127,11 +138,10 @@ def parse_number(s: Column) -> Column:
     percent = body.endswith("%")
     body = F.when(percent, F.trim(F.regexp_replace(body, "%$", ""))).otherwise(body)
     body = F.regexp_replace(body, r"^([+-]?)\$", "$1")
-    ok = body.rlike(_NUMBER) & body.rlike(r"\d")
-    x = F.when(ok, F.regexp_replace(body, ",", "").try_cast("double"))
+    x = bind(lambda body: F.when(body.rlike(_NUMBER) & body.rlike(r"\d"), F.regexp_replace(body, ",", "").try_cast("double")), body)
     x = F.when(percent, x / 100).otherwise(x)
     x = F.when(negative, -x).otherwise(x)
-    x = F.when(F.abs(x) <= LARGEST, x)
+    x = bind(lambda x: F.when(F.abs(x) <= LARGEST, x), x)
     clock = F.when(t.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), (F.get(F.split(t, ":"), F.lit(0)).try_cast("int") * 3600 + F.get(F.split(t, ":"), F.lit(1)).try_cast("int") * 60 + F.coalesce(F.get(F.split(t, ":"), F.lit(2)).try_cast("int"), F.lit(0))) / 86400.0)
     return F.coalesce(x, clock, parse_date(t))
 
@@ -152,10 +162,18 @@ def to_number(v: Val) -> tuple[Column, Column | None]:
 
 
 def general(x: Column) -> Column:
+    return bind(_general, x)
+
+
+def _general(x: Column) -> Column:
     """General format: 15 significant digits, plain where all of them lie between 10^19 and 10^-18."""
     sci = F.format_string("%.14e", F.abs(x))
     digits = F.regexp_replace(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), "0+$", "")
     e = F.substring(sci, 18, 5).try_cast("int")
+    return bind(_general_of, x, digits, e)
+
+
+def _general_of(x: Column, digits: Column, e: Column) -> Column:
     k = F.length(digits)
     whole = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")))
     plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).when(k <= e + 1, whole).otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, k)))
