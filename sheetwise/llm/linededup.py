@@ -9,7 +9,12 @@ go but at most WIN - 1 at each end (those too, if the first place has them). A l
 exists.
 
 Matches of two documents that lie on one diagonal are merged before lines are fetched, so a copy costs one row, and no
-pairs are made of what shares a run. Null texts count as empty. Equal ids follow one another by a hash of their texts;
+pairs are made of what shares a run. With `whole` (the query and the pipeline) nothing is sampled: a line goes exactly if a run of lines with `min_words`
+words or more around it has an earlier place. Every such run is covered by its shortest windows of `min_words` words
+that begin or end at one of its lines, so those, two for each line at most, are hashed and meet their first place; no
+match needs extending, and no lines of other documents are fetched.
+
+Null texts count as empty. Equal ids follow one another by a hash of their texts;
 rows with equal id and text count as one document for each other, and both stay as the first of them does.
 """
 
@@ -71,6 +76,30 @@ def fingerprints(lines: Lines, gram: int = GRAM, win: int = WIN) -> tuple[np.nda
     return gdoc[pick], at[pick] - lines.first[gdoc[pick]], h[pick]
 
 
+def windows(lines: Lines, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line the shortest runs of `min_words` words or more that begin and that end with it, within its document:
+    document, first line, line after the last, hash."""
+    n = len(lines.hash)
+    doc = np.repeat(np.arange(len(lines.first) - 1), np.diff(lines.first))
+    before = np.concatenate([[0], np.cumsum(lines.words)])  # each line has a word, so it grows
+    need = max(1, min_words)
+    at = np.arange(n)
+    upto = np.searchsorted(before, before[:-1] + need)
+    begin = np.flatnonzero(upto <= lines.first[1:][doc]) if n else at
+    since = np.searchsorted(before, before[1:] - need, "right") - 1
+    end = np.flatnonzero((since >= 0) & (since >= lines.first[:-1][doc])) if n else at
+    pairs = np.unique(np.stack([np.concatenate([begin, since[end]]), np.concatenate([upto[begin], end + 1])]), axis=1)
+    lo, hi = pairs[0].astype(np.int64), pairs[1].astype(np.int64)
+    size = hi - lo
+    h = size.astype(U64)
+    mult = randoms(int(size.max()) if len(size) else 0, 61)
+    for j, m in enumerate(mult):
+        some = np.flatnonzero(size > j)
+        h[some] += lines.hash[lo[some] + j] * m
+    d = doc[lo] if len(lo) else lo
+    return d, lo - lines.first[d], hi - lines.first[d], mix(h)
+
+
 def _digests(b: Block) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.buf[b.start[d] : b.start[d + 1]]) for d in range(b.n)], U64).view(np.int64)
 
@@ -140,6 +169,20 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words:
     return fetched.select("id", "digest", "shift", "words", "lines", "flines", "at").mapInArrow(match, "id long, digest long, lo long, hi long")
 
 
+def all_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Like repeated_runs(), for every line that has to go."""
+
+    def scan(batches):
+        for batch, b in blocks(batches):
+            doc, lo, hi, h = windows(Lines(b), min_words)
+            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(_digests(b)[doc]), pa.array(lo), pa.array(hi)], names=["fp", "id", "digest", "lo", "hi"])
+
+    prints = stored(docs.mapInArrow(scan, "fp long, id long, digest long, lo long, hi long"))
+    firsts = stored(prints.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("id", "digest", "lo")).alias("f")).filter("m > 1").select("fp", "f"))
+    return prints.join(firsts, "fp").filter(F.struct("id", "digest", "lo") > F.col("f")).select("id", "digest", "lo", "hi")
+
+
 def _key_column():
     @F.pandas_udf("long")
     def key(i, d):
@@ -150,37 +193,43 @@ def _key_column():
     return key("id", "digest")
 
 
-def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, win: int = WIN, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with n_lines, n_removed, n_runs and clean_text, for every row. Columns of these names give way."""
+def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, win: int = WIN, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """df with n_lines, n_removed, n_runs and clean_text, for every row. Columns of these names give way. whole: every
+    repeated run of `min_words` words goes (gram and win have no part in it), not only what winnowing finds."""
     new = ["n_lines", "n_removed", "n_runs", "clean_text"]
     rest = [c for c in df.columns if c not in new]
     place = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("id")
     docs = df.select(place, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = stored(repeated_runs(docs, gram, win, min_words).distinct())
+    runs_of = all_repeated_runs(docs, min_words) if whole else repeated_runs(docs, gram, win, min_words)
+    found = stored(runs_of.distinct())
     owners = Bitmap(found.select("id", "digest", _key_column().alias("key")), "key", found.count())
-    runs = found.groupBy("id", "digest").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")).select(F.col("id").alias("_i"), F.col("digest").alias("_d"), "_lo", "_hi")
+    runs = stored(found.groupBy("id", "digest").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")).select(F.col("id").alias("_i"), F.col("digest").alias("_d"), "_lo", "_hi"))
 
     kinds = dict(df.dtypes)
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
-    src = df.select(row, place, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    src = df.select(row, place)
     row_type = "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in rest) + ">"
 
+    def with_text(batches):  # once in a row, so that shuffles carry it once
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, batch.column(0).field(text)], names=[*batch.schema.names, "text"])
+
     def mark(batches):
-        for batch, b in blocks(batches):
+        for batch, b in blocks(with_text(batches)):
             ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
             digest = _digests(b)
             n = np.diff(Lines(b).first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digest), pa.array(owners.perhaps(_key(ids, digest))), pa.array(n)], names=["row", "id", "text", "digest", "hit", "n_lines"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), pa.array(owners.perhaps(_key(ids, digest))), pa.array(n)], names=["row", "id", "digest", "hit", "n_lines"])
 
-    marked = src.mapInArrow(mark, f"row {row_type}, id long, text string, digest long, hit boolean, n_lines long")
+    marked = src.mapInArrow(mark, f"row {row_type}, id long, digest long, hit boolean, n_lines long")
     clear = marked.filter(~F.col("hit")).select("row.*", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.col("row")[text].alias("clean_text"))
-    hit = marked.filter("hit").join(runs, (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_d")), "left").select("row", "text", "n_lines", "_lo", "_hi")
+    hit = marked.filter("hit").join(runs, (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_d")), "left").select("row", "n_lines", "_lo", "_hi")
 
     def cut(batches):
-        for batch, b in blocks(batches):
+        for batch, b in blocks(with_text(batches)):
             lines = Lines(b)
             removed, count, texts = [], [], []
-            for d, (lo, hi) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            for d, (lo, hi) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 f, g = lines.first[d], lines.first[d + 1]
                 raw = b.text(d)
                 if not lo.is_valid:
@@ -196,7 +245,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int
                 removed.append(int(gone.sum()))
                 count.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
                 texts.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(texts, pa.string())], names=["row", *new])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(texts, pa.string())], names=["row", *new])
 
     done = hit.mapInArrow(cut, f"row {row_type}, n_lines long, n_removed long, n_runs long, clean_text string").select("row.*", *new)
     return clear.unionByName(done)

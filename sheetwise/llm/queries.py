@@ -38,7 +38,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
 
 

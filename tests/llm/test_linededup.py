@@ -92,3 +92,43 @@ def test_odd_inputs(spark, odd_documents, no_documents):
     assert out.count() == 11 and out.columns == ["doc_id", "text", "lang", "n_chars", "n_lines", "n_removed", "n_runs", "clean_text"]
     assert dedup_lines(no_documents).count() == 0
     assert np.array_equal([r.n_removed for r in out.filter("doc_id = 2").collect()], [0])
+
+
+def brute_whole(docs, min_words=8):
+    """Lines within any run of min_words words that has an earlier place, by trying all runs that could matter."""
+    lines = {d: [x.strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")] for d, t in docs}
+    firsts, gone = {}, {d: set() for d in lines}
+    for d in sorted(lines):
+        ls = lines[d]
+        for lo in range(len(ls)):
+            for hi in range(lo + 1, min(len(ls), lo + 2 * min_words) + 1):
+                if firsts.setdefault(tuple(ls[lo:hi]), (d, lo)) != (d, lo) and sum(len(x.split()) for x in ls[lo:hi]) >= min_words:
+                    gone[d] |= set(range(lo, hi))
+    return {d: (len(lines[d]), gone[d]) for d in lines}, lines
+
+
+def check_whole(spark, docs):
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), whole=True).collect()}
+    want, lines = brute_whole(docs)
+    assert len(got) == len(docs)
+    for d, (n, gone) in want.items():
+        assert (got[d].n_lines, got[d].n_removed) == (n, len(gone)), d
+        assert [x.strip() for x in (got[d].clean_text or "").split("\n") if x.strip()] == [x for i, x in enumerate(lines[d]) if i not in gone]
+    return got
+
+
+def test_every_repeated_run_of_enough_words_goes(spark, small):
+    one, two = " ".join(f"p{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "qr"]
+    own = lambda d: [f"own{d} x{k}" for k in range(3)]
+    docs = [(d, "\n".join([*own(d), one, *own(d + 50), *two, f"end{d}"])) for d in range(12)]
+    got = check_whole(spark, docs)
+    assert all(one not in got[d].clean_text and two[0] not in got[d].clean_text and two[1] not in got[d].clean_text for d in range(1, 12))
+    assert got[0].n_removed == 0 and got[1].n_removed == 3 and got[1].n_runs == 2
+    check_whole(spark, invented(1))
+    check_whole(spark, [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()])
+
+
+def test_whole_takes_odd_inputs(spark, odd_documents, no_documents):
+    out = dedup_lines(odd_documents, whole=True)
+    assert out.count() == 11 and dedup_lines(no_documents, whole=True).count() == 0
+    assert sorted(r.n_removed for r in out.filter("doc_id in (3, 4)").collect()) == [0, 1, 1]

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from test_linededup import brute as brute_lines
+from test_linededup import brute_whole
 from test_neardup import brute as brute_near
 from tokenizers import Tokenizer
 
@@ -53,3 +54,13 @@ def test_odd_inputs(spark, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, "").columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.near(spark, odd_documents, "").count() == 9
+
+
+def test_line_dedup_leaves_no_repeated_run(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = docs.collect()
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, small).collect()}
+    want, lines = brute_whole([(r.doc_id, r.text) for r in before])
+    assert set(got) == {d for d, (n, gone) in want.items() if not gone or len(gone) < n}
+    for d, r in got.items():
+        assert [x.strip() for x in (r.text or "").split("\n") if x.strip()] == [x for i, x in enumerate(lines[d]) if i not in want[d][1]]
