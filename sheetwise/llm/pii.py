@@ -1,13 +1,16 @@
 """Personal data and what discloses it, by DataFrame functions alone.
 
 Base entities (email, ip, card, phone) are found by patterns. Their values are the protected entities c. Terms t
-near them disclose c by the share of its information that they give away over the whole corpus,
+in their sentences disclose c by the share of its information that they give away over the whole corpus,
 
     disclosure(c; t) = PMI(c; t) / IC(c),  PMI = log2(N n_ct / (n_c n_t)),  IC = log2(N / n_c)
 
-with n counted in documents. It is 1 if t occurs with c only. A pair needs `support` different contexts as
-evidence, so copies of one passage prove nothing. At `generalise` a term is replaced by its kind, at `remove` it is
-deleted.
+with n counted in documents (n_ct: those where a sentence has both, however long it is). It is 1 if t occurs with c
+only. A pair needs `support` different contexts of c (CONTEXT code points on each side, within the sentence) as
+evidence, so copies of one passage prove nothing. Whole documents are no unit of evidence: long ones share rare terms
+by chance. A term's disclosure is the
+largest over the entities; at `generalise` it is replaced by its kind, at `remove` it is deleted, wherever it stands in
+any document, with the entity or without.
 
 Null texts count as empty. Rows are told apart by position, so repeated rows and null or equal ids stay apart in
 `disclosures`; `sanitise` joins on the id and gives rows with equal id and text the same result. Spans are code
@@ -36,7 +39,8 @@ PATTERNS = {
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,40}+(?![\p{L}\p{N}@_%+-])"
-#: Code points of context on each side of an entity.
+SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
+#: Code points on each side of an entity that tell its contexts apart.
 CONTEXT = 80
 
 
@@ -61,9 +65,8 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _hits(df: DataFrame, text: str) -> DataFrame:
+def _hits(docs: DataFrame) -> DataFrame:
     """A row for each pattern match with its place, and one without kind for each document that has none."""
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), "id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     needs = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     base = KINDS[:4]
     none = F.array().cast("array<string>")
@@ -89,45 +92,58 @@ def _hits(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _terms(side: Column) -> Column:
-    """The terms of a context (at most CONTEXT + 1 code points) and their offsets in it."""
-    m, g = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM, -1)
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.char_length(x))
-    return F.transform(m, lambda x, j: F.struct(F.lower(x).alias("term"), (size(g, j + 1) + size(m, j)).alias("at"), F.char_length(x).alias("n")))
+def _words(docs: DataFrame) -> DataFrame:
+    """(rid, term): the different terms of each document."""
+    return docs.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+
+
+def _telling(docs: DataFrame, hits: DataFrame, support: int, generalise: float) -> DataFrame:
+    """(term, d): the terms that disclose some entity by `generalise` or more."""
+    total = docs.count()
+    held = hits.filter("kind is not null").select("entity", "rid").distinct()
+    known = stored(held.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= support))
+    most = known.agg(F.max("n_c")).first()[0] or 0
+    # As n_ct <= n_c, PMI <= log2(N / n_t): what is more frequent can't reach the threshold, what is rarer than `support` has
+    # no evidence. Frequent terms, most of the text, so never meet the entities; the exact test comes after.
+    cap = lambda n_c: F.pow(F.lit(float(max(total, 1))), F.lit(1 - generalise)) * F.pow(n_c, F.lit(generalise)) * 1.000001
+    n_t = _words(docs).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = stored(n_t.filter((F.col("n_t") >= support) & (F.col("n_t") <= cap(F.lit(float(most))))))
+    some = docs.join(held.join(known, "entity").select("rid").distinct(), "rid", "left_semi")
+    sentences = some.select(F.col("rid").alias("id"), F.posexplode(F.split("text", SENTENCE, -1)).alias("sid", "text"))
+    sentences = stored(sentences.filter(F.col("text").rlike("[@0-9]")).select(F.struct("id", "sid").alias("rid"), "id", "text"))
+    within = _hits(sentences).filter("kind is not null").select("rid", F.col("id").alias("doc"), "entity", F.xxhash64("left", "right").alias("ctx")).join(known, "entity")
+    pairs = within.join(_words(sentences).join(n_t, "term"), "rid").filter(F.col("n_t") <= cap(F.col("n_c").cast("double")))
+    pairs = pairs.groupBy("entity", "term", "doc", "n_c", "n_t").agg(F.min("ctx").alias("ctx")).groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"), F.countDistinct("ctx").alias("n_ctx")).filter(F.col("n_ctx") >= support)
+    log_n = F.lit(math.log2(max(total, 1)))
+    share = (log_n + F.log2("n_ct") - F.log2("n_c") - F.log2("n_t")) / F.nullif(log_n - F.log2("n_c"), F.lit(0.0))
+    return stored(pairs.groupBy("term").agg(F.max(share).alias("d")).filter(F.col("d") >= generalise))
 
 
-def _contexts(hits: DataFrame) -> DataFrame:
-    whole = lambda c, cutoff: F.when(F.char_length(c) > CONTEXT, F.regexp_replace(c, cutoff, "")).otherwise(F.col(c))  # noqa: E731  without words that the border cuts
-    c = hits.filter("kind is not null").select("rid", "id", "entity", "start", "end", F.xxhash64("left", "right").alias("ctx"), whole("left", r"^[^\s]*").alias("left"), whole("right", r"[^\s]*$").alias("right"))
-    left, right = F.transform(_terms(F.col("left")), lambda t: F.struct(t["term"].alias("term"), (F.col("start") - F.char_length("left") + t["at"]).alias("s"), t["n"].alias("n"))), F.transform(_terms(F.col("right")), lambda t: F.struct(t["term"].alias("term"), (F.col("end") + t["at"]).alias("s"), t["n"].alias("n")))
-    return c.select("rid", "id", "entity", "ctx", F.explode(F.concat(left, right)).alias("t")).select("rid", "id", "entity", "ctx", "t.term", F.col("t.s").alias("start"), (F.col("t.s") + F.col("t.n")).alias("end"))
+def _places(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(rid, id, start, end, d): every occurrence of the telling terms."""
+    holders = stored(_words(docs).join(telling, "term").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("tell")))
+    mark = "\x01"  # no part of a term, nor of what may not stand beside one; texts that have it get a space instead
+    found = docs.join(holders.hint("merge"), "rid").select("rid", "id", "tell", F.translate("text", mark, " ").alias("text"))
+    found = found.select("rid", "id", "tell", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("g"))
+    one = lambda x, j: F.concat(F.get("g", j), F.when(F.map_contains_key("tell", F.lower(x)), F.concat(F.lit(mark), x, F.lit(mark))).otherwise(x))
+    pieces = F.split(F.array_join(F.concat(F.transform("m", one), F.array(F.get("g", F.size("m")))), ""), mark, -1)  # every second one is a telling term
+    sized = F.transform(pieces, lambda x, j: F.struct(F.char_length(x).alias("n"), F.when(j % 2 == 1, F.try_element_at("tell", F.lower(x))).alias("d")))
+    rows = found.select("rid", "id", F.posexplode(sized).alias("i", "p")).select("rid", "id", "i", "p.n", "p.d")
+    rows = rows.withColumn("end", F.sum("n").over(Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return rows.filter("i % 2 = 1").select("rid", "id", (F.col("end") - F.col("n")).alias("start"), "end", "d")
 
 
 def disclosures(df: DataFrame, id: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.5, remove: float = 0.9) -> DataFrame:
     """One row per row of df: id, spans array<struct<kind int (of KINDS), start, end, action>>, sorted."""
-    src = df.select(F.col(id).alias("id"), text)
-    hits = cut(_hits(src, text))
-    contexts = cut(_contexts(hits))
-    total = hits.select("rid").distinct().count()
-
-    pairs = contexts.groupBy("entity", "term", "rid").agg(F.min("ctx").alias("ctx")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.countDistinct("ctx").alias("n_ctx"))
-    pairs = stored(pairs.filter(F.col("n_ctx") >= support))
-    n_c = hits.filter("kind is not null").select("entity", "rid").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    # documents with each term, over the whole corpus: counted first, so that a frequent term meets the pairs once
-    words = src.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
-    log_n = F.lit(math.log2(max(total, 1)))
-    share = pairs.join(n_c, "entity").join(n_t, "term").select(
-        "entity", "term", ((log_n + F.log2("n_ct") - F.log2("n_c") - F.log2(F.greatest("n_t", "n_ct"))) / F.nullif(log_n - F.log2("n_c"), F.lit(0.0))).alias("disclosure"),
-    )
-    telling = stored(share.filter(F.col("disclosure") >= generalise))
-
-    more = contexts.join(telling, ["entity", "term"]).groupBy("rid", "id", "start", "end").agg(F.max("disclosure").alias("d"))
+    docs = stored(df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "zstd")
+    hits = cut(_hits(docs))
+    more = _places(docs, _telling(docs, hits, support, generalise))
     base = hits.select("rid", "id", "kind", "start", "end", F.lit("remove").alias("action"))
     more = more.select("rid", "id", F.lit(4).alias("kind"), "start", "end", F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action"))
     spans = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "start", "end", "action"))))
     got = base.unionByName(more).groupBy("rid", "id").agg(spans.alias("spans"))
-    inside = lambda t: F.exists("spans", lambda b: (b["kind"] < 4) & (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    got = got.select("id", "spans", F.filter("spans", lambda t: t["kind"] < 4).alias("base"))
+    inside = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     # base spans stay; a term that one of them covers adds nothing
     return got.select(F.col("id").alias(id), F.filter("spans", lambda t: (t["kind"] < 4) | ~inside(t)).alias("spans"))
 

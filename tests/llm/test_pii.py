@@ -62,6 +62,20 @@ def test_terms_that_disclose_an_entity(spark):
     assert all(out[i].clean_text == fill[i] for i in range(200))
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    far = "ordinary words the and for " * 12
+    fill = [f"alpha beta gamma delta number{i} {far}" for i in range(200)]
+    seen = [f"{w} mail boss@corp.example {far} é😀 Wintermute, {far}\x01 WINTERMUTE {w}" for w in ("spring", "summer", "autumn", "winter")]
+    alone = [f"number{i} {far} wintermute {far}" for i in range(2)]  # without the entity
+    docs = spark.createDataFrame(list(enumerate(fill + seen + alone)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    for i, text in enumerate(fill + seen + alone):
+        want = [(m.start(), m.end()) for m in re.finditer("wintermute", text, re.IGNORECASE)]
+        assert [(s.start, s.end) for s in out[i].spans if s.kind == 4 and text[s.start : s.end].lower() == "wintermute"] == want
+        assert "wintermute" not in out[i].clean_text.lower() and out[i].clean_text.count("ordinary") == text.count("ordinary")
+    assert [out[i].clean_text == fill[i] for i in range(200)] == [True] * 200
+
+
 def test_odd_inputs(spark, odd_documents, no_documents):
     assert pii.sanitise(odd_documents.withColumnRenamed("source", "spans")).count() >= 11
     assert pii.disclosures(no_documents).count() == 0
