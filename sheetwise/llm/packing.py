@@ -6,8 +6,13 @@ to the next window. The carried deficit has a closed form: after j windows the f
 floor(j * WINDOW * (w_1 + .. + w_i) / w) tokens. So every partition knows the deficits it starts from, and a document
 finds its windows from its place in its queue alone: no ids move, whatever the order in which tasks run.
 
-When a queue runs dry the rest share its part (a new phase). Queues too small for two tokens a window, and the last
-token or two of a queue, follow at the end. Windows are cut into sequences of LENGTH; what remains after the last
+By default (the input's proportions) any number of sources are queues of their own: those too small for two tokens a
+window share a queue, within which they are scheduled by the same rule over longer windows (Nested), so each has its
+proportion over as many windows as that takes. The schedule, some numbers for each source, is made on the driver and
+sent to the tasks.
+
+Where weights are given, a queue that runs dry leaves its part to the rest (a new phase), and queues too small for two
+tokens a window follow at the end. So does the last token or two of a queue. Windows are cut into sequences of LENGTH; what remains after the last
 full one is cut into powers of two, so nothing is padded.
 
 Null and empty texts have the end id alone. A null source is a queue of its own, "". Each row is a document of its own,
@@ -30,8 +35,8 @@ from ._text import blocks
 from ._tokens import encoder
 
 LENGTH, WINDOW = 2048, 32 * 2048
-#: More sources than this share queues by hash.
-MOST_QUEUES = 1000
+#: Tokens that the sources of a shared queue get in one of its windows on average, at least.
+QUANTUM = 64
 
 
 class Schedule:
@@ -96,6 +101,37 @@ class Schedule:
         return out
 
 
+class Nested:
+    """A schedule by the queues' own proportions, like Schedule, for any number of queues of any size."""
+
+    def __init__(self, queues: dict[str, int], window: int = WINDOW, shared: bool = False):
+        queues = {k: n for k, n in queues.items() if n > 0}
+        total, order = sum(queues.values()), sorted(queues, key=lambda k: (queues[k], k))
+        while shared and window < QUANTUM * len(order):
+            window *= 2
+        while True:
+            small, held = 0, 0
+            if order and queues[order[0]] * window < 2 * total:
+                while small < len(order) and (queues[order[small]] * window < 2 * total or held * window < 2 * total):
+                    held += queues[order[small]]
+                    small += 1
+            if not small or small < len(order):
+                break
+            window *= 2  # all are small: longer windows
+        self.inner, self.members = None, frozenset(order[:small])
+        own = {f"q{k}": queues[k] for k in order[small:]}
+        if small:
+            self.inner = Nested({k: queues[k] for k in order[:small]}, window, True)
+            own["shared"] = held
+        self.outer = Schedule(own, None, window)
+        self.total = total
+
+    def stretches(self, queue: str, at: int, n: int) -> list[tuple[int, int]]:
+        if queue not in self.members:
+            return self.outer.stretches(f"q{queue}", at, n)
+        return [y for p, m in self.inner.stretches(queue, at, n) for y in self.outer.stretches("shared", p, m)]
+
+
 def place(at: int, total: int, length: int = LENGTH) -> tuple[int, int, int]:
     """Sequence, offset in it and room from there on, for a place among all tokens. The last tokens that don't fill a
     sequence form ones of powers of two."""
@@ -140,14 +176,12 @@ def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", sourc
     last); by default the proportions of the input's tokens."""
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     src = df.select(F.col(id).cast("long").alias("id"), name.alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if weights is None and src.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        src = src.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string"))
     ids = tokenised(src, path, end_id)
     counts = ids.groupBy("part", "source").agg(F.sum("n").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = stored(counts.select("part", "source", ahead.alias("base"), "n"))  # a number for each partition and source: broadcast if found small, else joined
     queues = {r.source: r.n for r in bases.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # as many as queues
-    schedule = Schedule(queues, weights, window)
+    schedule = Nested(queues, window) if weights is None else Schedule(queues, weights, window)
     dtype = encoder(path).dtype
 
     def run(batches):

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from sheetwise.llm._text import block
 from sheetwise.llm._tokens import encoder
-from sheetwise.llm.packing import Schedule, pack, place
+from sheetwise.llm.packing import Nested, Schedule, pack, place
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -107,3 +107,47 @@ def test_every_id_in_one_piece(spark, small, odd_documents):
 
 def test_no_documents(spark, no_documents):
     assert pack(no_documents, PATH).count() == 0
+
+
+def check_nested(queues, window):
+    s, at = Nested(queues, window), dict.fromkeys(queues, 0)
+    taken, r = np.full(s.total, -1), random.Random(5)
+    for i, (k, n) in enumerate(queues.items()):
+        while at[k] < n:
+            m = min(n - at[k], r.randrange(1, 50))
+            got = s.stretches(k, at[k], m)
+            assert sum(x for _, x in got) == m
+            for p, x in got:
+                assert (taken[p : p + x] == -1).all()
+                taken[p : p + x] = i
+            at[k] += m
+    assert (taken >= 0).all()
+    return taken
+
+
+def test_any_number_of_queues_keep_their_proportions():
+    # a big queue, a middle one and 300 too small for two tokens a window
+    queues = {"big": 600_000, "middle": 200_000, **{f"small{i}": 600 + i % 9 for i in range(300)}}
+    taken, total = check_nested(queues, 512), sum(queues.values())
+    for j in range(total // 512):
+        got = np.bincount(taken[j * 512 : j * 512 + 512], minlength=302)
+        assert abs(got[0] - 512 * 600_000 / total) <= 2 and abs(got[1] - 512 * 200_000 / total) <= 2
+    part = total // 1024 * 512  # whole windows
+    half = np.bincount(taken[:part], minlength=302)[2:]
+    assert np.abs(half - 300).max() < 130 and abs(half.sum() - (total - 800_000) * part / total) <= 2  # to a window of the shared queue
+    check_nested({f"q{i}": 100 for i in range(700)}, 64)  # all too small
+    check_nested({"big": 100_000, "one": 1}, 64)
+    for seed in range(20):
+        r = random.Random(seed)
+        check_nested({f"q{i}": r.choice([0, 1, 2, 5, 100, 3000]) for i in range(r.randrange(60))}, 128)
+
+
+def test_many_sources_stay_what_they_are(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('words of ', id) text", "if(id % 2 = 0, 'hot', concat('site', id)) source")
+    want = {r.doc_id: r.source for r in docs.collect()}
+    pieces = pack(docs, PATH, length=64, window=512).collect()
+    assert {(p.doc_id, p.source) for p in pieces} == set(want.items())
+    places = sorted((p.sequence_id, p.offset, p.length, p.source == "hot") for p in pieces)
+    hot = np.concatenate([np.full(n, h) for _, _, n, h in places])
+    share = hot.mean()
+    assert all(abs(hot[j : j + 512].sum() - 512 * share) <= 2 for j in range(0, len(hot) - 512, 512))
