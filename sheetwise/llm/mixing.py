@@ -67,16 +67,24 @@ def rake(cells: np.ndarray, tokens_: np.ndarray, targets: list[np.ndarray], roun
 
 
 def _rake_joined(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, trim: float) -> DataFrame:
-    """rake() by Spark joins, for very many cells."""
+    """rake() by Spark joins, for very many cells: the same rounds, rule to stop and trim."""
     cells = cells.withColumn("weight", F.lit(1.0))
     for i in range(rounds):
         if i:
-            mean = cells.agg(F.sum(F.col("weight") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0] or 0.0
+            mean = cells.agg(F.sum(F.col("weight") * F.col("n_tokens")) / F.greatest(F.sum("n_tokens"), F.lit(1))).first()[0] or 0.0
             cells = cells.withColumn("weight", F.least("weight", F.lit(trim * mean)))
+        moved = 0.0
         for d in DIMENSIONS:
             now = cells.groupBy(d).agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("now"))
-            factor = now.join(targets[d], d).select(d, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("factor"))
+            now = now.join(targets[d], d, "left").select(d, "now", F.coalesce("share", F.lit(0.0)).alias("share"))
+            whole = now.agg(F.sum("now").alias("whole"), F.sum(F.when(F.col("now") > 0, F.col("share"))).alias("met"))
+            apart = F.abs(F.col("now") / F.when(F.col("whole") > 0, F.col("whole")).otherwise(1.0) - F.col("share"))
+            met, far = now.crossJoin(F.broadcast(whole)).agg(F.max("met"), F.max(apart)).first()  # one row is broadcast
+            moved = max(moved, far or 0.0)
+            factor = now.select(d, F.when(F.col("now") > 0, F.col("share") / F.col("now") / F.lit(met or 1.0)).otherwise(0.0).alias("factor"))
             cells = cut(cells.join(factor, d).select(*DIMENSIONS, "n_tokens", (F.col("weight") * F.col("factor")).alias("weight")))
+        if moved < 1e-9:
+            break
     return cells
 
 
@@ -103,11 +111,11 @@ def weights(measured: DataFrame, targets: dict[str, dict[str, float]] | None = N
     for d in DIMENSIONS:
         now = cells.groupBy(d).agg(F.sum("n_tokens").alias("n")).filter("n > 0")
         given = targets.get(d)
-        raw = F.pow(F.col("n").cast("double"), F.lit(temper)) if given is None else F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(d)], F.lit(0.0))
+        raw = F.pow(F.col("n").cast("double"), F.lit(temper)) if given is None else F.lit(0.0) if not given else F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(d)], F.lit(0.0))
         raw_table = stored(now.select(d, raw.cast("double").alias("raw")))
         total = raw_table.agg(F.sum("raw")).first()[0] or 1.0
         tables[d] = raw_table.select(d, (F.col("raw") / total).alias("share"))
-    raked = stored(_rake_joined(cells, tables, min(rounds, 15), trim))
+    raked = stored(_rake_joined(cells, tables, rounds, trim))
     top = raked.filter("n_tokens > 0").agg(F.max("weight")).first()[0] or 1.0
     return raked.select(*DIMENSIONS, "weight", F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.col("weight") / top)).otherwise(1.0).alias("probability"))
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from sheetwise.llm import mixing
 from sheetwise.llm.mixing import mix_sources, rake
 
 
@@ -37,6 +38,19 @@ def test_joins_give_the_same_weights(spark, small):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
+def test_joins_keep_empty_cells_and_all_rounds(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 60").select("doc_id", "text", "source", "lang")
+    empty = spark.createDataFrame([(1000, "", "nothing", "en"), (1001, None, "nothing", "xx")], docs.schema)
+    docs = docs.unionByName(empty).coalesce(1)
+    a, b = ({r.doc_id: (r.weight, r.probability) for r in mix_sources(docs, keep=["doc_id"], rounds=2, most_cells=n).collect()} for n in (10**5, 1))
+    assert len(a) == docs.count() and a.keys() == b.keys() and b[1000][1] == b[1001][1] == 1
+    assert all(abs(x - y) <= 1e-6 * max(abs(x), abs(y)) for k in a for x, y in zip(a[k], b[k], strict=True))
+    seen = []
+    monkeypatch.setattr(mixing, "_rake_joined", lambda cells, targets, rounds, trim: seen.append(rounds) or cells.withColumn("weight", F.lit(1.0)))
+    mix_sources(docs, keep=["doc_id"], most_cells=1)
+    assert seen == [mixing.ROUNDS]
+
+
 def test_odd_inputs(spark, odd_documents, no_documents):
     out = mix_sources(odd_documents.withColumnRenamed("n_chars", "topic"))
     assert out.count() == 11 and out.columns == ["doc_id", "text", "lang", "source", "n_tokens", "topic", "weight", "probability", "kept"]
