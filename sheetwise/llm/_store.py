@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,35 @@ from ._text import small_batches
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests in one process), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs in one process (tests), a temporary one."""
     small_batches(spark)
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sheetwise-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Bytes of input for a partition of what is dealt by ranges or keys.
+PART_BYTES = 64 << 20
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of df: as many as its session has, or more if the planner knows df to be large."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size if size < 1 << 60 else 0  # a plan without statistics counts as endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept where a lost executor can't take it along; partitions and row order stay."""
     shared_dir(df.sparkSession)

@@ -10,11 +10,15 @@ array over a corpus is out of reach, so the work is cut into pieces that can't l
 2. Runs with equal bytes are all copies of each other; counting them needs no text.
 3. Of anchors whose runs differ, one copy of each different run is fetched. Their bytes are put in suffix order,
    and for every window the nearest suffixes at a smaller (and larger) place on both sides of it in that order, which
-   give its longest previous (and next) factor, tell whether it reaches LENGTH.
+   share the longest prefix with it, tell whether its longest previous (and next) factor reaches LENGTH.
 4. An anchor with more than MOST_RUNS different runs isn't put into one task; its windows are counted by hash,
    combined before the shuffle.
 5. Each document's stretches are joined and cut out.
 
+Beside the bytes, `n_shared_windows` counts a document's windows of WORDS words (runs between white space) that another
+document has too, whatever their length in bytes: 51 short words are under 400 bytes. They are found alike, over hashes
+of words instead of bytes: anchors, runs that are equal as a whole, and single windows by hash where runs differ.
+
 Texts move only for documents that a bitmap of bounded size can't rule out. Null texts count as empty. Rows with equal
 id and text are copies of each other (with keep="first", all but one of them lose what the others have; as they can't
 be told apart, each is cut like the later one).
@@ -26,16 +30,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap
-from ._store import stored
-from ._text import U64, Block, blocks, mix, randoms
+from ._store import parts_for, stored
+from ._text import U64, Block, blocks, hash_runs, mix, randoms, tokens
 
 #: Runs of one anchor that a task compares: some 4 MB of text.
-LENGTH, MOST_RUNS = 400, 8192
+LENGTH, MOST_RUNS, WORDS = 400, 8192, 51
 #: Bytes of text whose places fit beside a hash in 64 bits; longer texts are taken in overlapping pieces.
 PIECE, PLACE_BITS = 1 << 20, 21
 
@@ -71,29 +74,56 @@ def slide_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def runs(b: Block, length: int = LENGTH) -> dict[str, np.ndarray]:
     """The runs of windows of a block: doc, at (first start within the document), n (starts), anchor, seg (hash of
-    the run's bytes and its anchor's place). Texts longer than PIECE are taken in pieces that overlap."""
+    the run's bytes and its anchor's place)."""
+    return _in_pieces(lambda lo, hi: _BYTES[b.buf[lo:hi]], b.start, length)[0]
+
+
+def word_runs(b: Block, words: int = WORDS) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Like runs(), over words; and the hashes of each run's windows."""
+    ws, we, first = tokens(b)
+    h = hash_runs(b.buf, ws, we)
+    return _in_pieces(lambda lo, hi: h[lo:hi], first, words, windows=True)
+
+
+_RUN = ("doc", "at", "n", "anchor", "seg")
+
+
+def _in_pieces(symbols, start: np.ndarray, length: int, windows: bool = False) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """_runs() of documents of symbols; a document longer than PIECE is taken in pieces that overlap."""
     out: list[tuple[np.ndarray, ...]] = []
-    if len(b.buf) <= PIECE + length:
-        out.append(_runs(b.buf, b.start, np.arange(b.n), np.zeros(b.n, np.int64), length))
+    hashes: list[np.ndarray] = []
+
+    def add(lo, hi, starts, docs, shift):
+        x = symbols(lo, hi)
+        out.append(_runs(x, starts, docs, shift, length))
+        if windows:
+            w = window_hashes(x, max(0, len(x) - length + 1), length)
+            first = starts[np.searchsorted(docs, out[-1][0])] + out[-1][1] - shift[np.searchsorted(docs, out[-1][0])]
+            hashes.extend(w[i : i + n] for i, n in zip(first.tolist(), out[-1][2].tolist(), strict=True))
+
+    n = len(start) - 1
+    if start[-1] <= PIECE + length:
+        add(0, int(start[-1]), start, np.arange(n), np.zeros(n, np.int64))
     else:  # one long document
-        for d in range(b.n):
-            lo, hi = int(b.start[d]), int(b.start[d + 1])
+        for d in range(n):
+            lo, hi = int(start[d]), int(start[d + 1])
             for c in range(lo, max(hi - length + 1, lo + 1), PIECE):
-                piece = b.buf[c : min(c + PIECE + length - 1, hi)]
-                out.append(_runs(piece, np.array([0, len(piece)]), np.array([d]), np.array([c - lo]), length))
-    return dict(zip(("doc", "at", "n", "anchor", "seg"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
+                end = min(c + PIECE + length - 1, hi)
+                add(c, end, np.array([0, end - c]), np.array([d]), np.array([c - lo]))
+    return dict(zip(_RUN, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)), hashes
 
 
-def _runs(buf: np.ndarray, start: np.ndarray, docs: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _runs(x: np.ndarray, start: np.ndarray, docs: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """x: a number for each symbol."""
     k = (length + 1) // 2
-    if len(buf) < length:
+    if len(x) < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
     up, down = _powers()
-    pre = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTES[buf] * up[: len(buf)], out=pre[1:])
-    grams = mix((pre[k:] - pre[:-k]) * down[: len(buf) - k + 1])
+    pre = np.zeros(len(x) + 1, U64)
+    np.cumsum(x * up[: len(x)], out=pre[1:])
+    grams = mix((pre[k:] - pre[:-k]) * down[: len(x) - k + 1])
     places = U64((1 << PLACE_BITS) - 1)
-    least = slide_min((grams & ~places) | np.arange(len(grams), dtype=U64), length - k + 1)  # by first byte of the window
+    least = slide_min((grams & ~places) | np.arange(len(grams), dtype=U64), length - k + 1)  # by first symbol of the window
     inside = np.zeros(len(least) + 1, np.int64)
     first, last = start[:-1], start[1:] - length + 1
     some = last > first
@@ -113,10 +143,11 @@ def _runs(buf: np.ndarray, start: np.ndarray, docs: np.ndarray, shift: np.ndarra
     return docs[doc], a - start[doc] + shift[doc], n, grams[at], seg
 
 
-def window_hashes(buf: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
+def window_hashes(x: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
+    """Hashes of the first n windows of symbols."""
     up, down = _powers()
-    pre = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTES[buf] * up[: len(buf)], out=pre[1:])
+    pre = np.zeros(len(x) + 1, U64)
+    np.cumsum(x * up[: len(x)], out=pre[1:])
     return mix((pre[length : length + n] - pre[:n]) * down[:n])
 
 
@@ -151,25 +182,43 @@ def suffix_ranks(buf: np.ndarray, cap: int) -> tuple[np.ndarray, int]:
     return rank, reach
 
 
+def nearest_smaller(age: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it in its group (groups are stretches) with a smaller age, or -1.
+
+    All candidates move at once: what lies between a place and its candidate is older than neither, so a candidate
+    that isn't smaller hands over its own candidate, and the paths double."""
+    near = np.arange(-1, len(age) - 1)
+    near[np.flatnonzero(group != np.concatenate([[-1], group[:-1]]))] = -1
+    while True:
+        wrong = np.flatnonzero(near >= 0)
+        wrong = wrong[age[near[wrong]] >= age[wrong]]
+        if not len(wrong):
+            return near
+        near[wrong] = near[near[wrong]]
+
+
 def factors(buf: np.ndarray, places: np.ndarray, age: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For the suffixes at `places`: does their longest previous factor, and their longest next factor, reach
     `length`? age: the order of the places in the corpus.
 
-    In suffix order, suffixes with equal first `length` bytes are neighbours. There the nearest smaller place before
-    or after a suffix exists if the least place so far, from either side, is smaller than its own.
+    The longest previous factor of a suffix is the longer of its common prefixes with the nearest suffixes of smaller
+    age before and after it in suffix order. Suffixes with equal first `length` bytes are neighbours in that order, so
+    it reaches `length` if one of the two lies in the same stretch. Next factors: with larger ages.
     """
     rank, reach = suffix_ranks(buf, length)
     key = rank[places].astype(U64) << U64(32)
     if reach < length:
         key |= rank[np.minimum(places + length - reach, len(buf) - 1)].astype(U64)
     order = np.lexsort((places, key))
-    key, seen = key[order], age[order]
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-    opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    key = key[order]
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else key.astype(np.int64)
+    shared = np.flatnonzero(np.bincount(group)[group] > 1) if len(key) else group  # other suffixes have none
+    seen, group, at = age[order][shared], group[shared], order[shared]
     previous, following = np.zeros(len(places), bool), np.zeros(len(places), bool)
-    if len(key):
-        previous[order] = np.minimum.reduceat(seen, opens)[group] < seen
-        following[order] = np.maximum.reduceat(seen, opens)[group] > seen
+    for found, by in ((previous, seen), (following, -seen)):
+        before = nearest_smaller(by, group) >= 0
+        after = nearest_smaller(by[::-1], -group[::-1])[::-1] >= 0
+        found[at] = before | after
     return previous, following
 
 
@@ -196,17 +245,17 @@ def longest_previous_factor(buf: np.ndarray) -> np.ndarray:
     return np.array([max((common(p, q) for q in (before[p], after[p]) if q >= 0), default=0) for p in range(n)])
 
 
-def _key(ids: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    return mix(ids.view(U64) ^ mix(digest.view(U64)))
+def _key() -> Column:
+    """A row's key in the bitmaps of documents, from its id and its text's digest."""
+    return F.xxhash64(F.coalesce(F.col("id"), F.lit(-(2**63))), F.col("digest"))
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
-    col = batch.column(batch.schema.get_field_index("id"))
-    return col, col.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
 
 
-def _digests(b: Block) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(b.buf[b.start[d] : b.start[d + 1]]) for d in range(b.n)], U64).view(np.int64)
+def _ids(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("id"))
 
 
 def _stretches(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,12 +288,8 @@ class _Repeats:
                 hit = np.flatnonzero(wanted.perhaps(anchor))
                 if not len(hit):
                     continue
-                col, _ = _ids(batch)
                 doc = r["doc"][hit]
-                digest = np.zeros(b.n, np.int64)
-                for d in np.unique(doc):
-                    digest[d] = np.uint64(xxhash.xxh64_intdigest(b.buf[b.start[d] : b.start[d + 1]])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(seg[hit]), col.take(pa.array(doc)), pa.array(digest[doc]), pa.array(r["at"][hit]), pa.array(r["n"][hit])], names=["anchor", "seg", "id", "digest", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(seg[hit]), _ids(batch).take(pa.array(doc)), pa.array(_numbers(batch, "digest")[doc]), pa.array(r["at"][hit]), pa.array(r["n"][hit])], names=["anchor", "seg", "id", "digest", "at", "n"])
 
         return self.docs.mapInArrow(run, "anchor long, seg long" if wanted is None else "anchor long, seg long, id long, digest long, at long, n long")
 
@@ -272,15 +317,13 @@ class _Repeats:
         if keep == "none":  # else runs that occur twice are gone already
             count = count.filter("rare = 1")
         wanted = stored(kinds.join(count, "anchor").select("anchor", "seg", "m", "runs", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"), F.col("first.at").alias("at"), F.col("first.n").alias("n"), F.col("first.o").alias("o")))
-        owners = Bitmap(wanted.select(_hash_of()), "key", wanted.count())
+        owners = Bitmap(wanted.select(_key().alias("key")), "key", wanted.count())
 
         def texts(batches):
             for batch, b in blocks(batches, "text", PIECE):
-                col, ids = _ids(batch)
-                digest = _digests(b)
-                hit = pa.array(np.flatnonzero(owners.perhaps(_key(ids, digest).view(np.int64))))
+                hit = pa.array(np.flatnonzero(owners.perhaps(_numbers(batch, "key"))))
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([col.take(hit), pa.array(digest).take(hit), batch.column(batch.schema.get_field_index("text")).take(hit)], names=["id", "digest", "text"])
+                    yield pa.RecordBatch.from_arrays([_ids(batch).take(hit), pa.array(_numbers(batch, "digest")).take(hit), batch.column(batch.schema.get_field_index("text")).take(hit)], names=["id", "digest", "text"])
 
         found = self.docs.mapInArrow(texts, "id long, digest long, text string").withColumnRenamed("id", "tid").withColumnRenamed("digest", "td")
         joined = wanted.join(found, (F.col("id").eqNullSafe(F.col("tid"))) & (F.col("digest") == F.col("td"))).select("anchor", "seg", "m", "runs", "id", "digest", "at", "n", "o", "text")
@@ -294,7 +337,7 @@ class _Repeats:
         schema = "anchor long, seg long, m long, runs long, id long, digest long, at long, n long, o long, bytes binary"
         pieces = stored(joined.mapInArrow(cut_out, schema).dropDuplicates(["anchor", "seg"]))  # equal rows of the corpus give one piece
         small, large = pieces.filter(F.col("runs") <= self.most_runs), pieces.filter(F.col("runs") > self.most_runs)
-        parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts_for(pieces)
 
         def compare(batches):
             held: list[pa.RecordBatch] = []
@@ -328,7 +371,7 @@ class _Repeats:
                 n = batch.column(batch.schema.get_field_index("n")).to_numpy()
                 piece = np.repeat(np.arange(b.n), n)
                 step = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-                hashes = np.concatenate([window_hashes(b.buf[b.start[i] : b.start[i + 1]], int(n[i]), length) for i in range(b.n)]).view(np.int64)
+                hashes = np.concatenate([window_hashes(_BYTES[b.buf[b.start[i] : b.start[i + 1]]], int(n[i]), length) for i in range(b.n)]).view(np.int64)
                 take = pa.array(piece)
                 cols = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("anchor", "m", "id", "digest", "o")]
                 at = batch.column(batch.schema.get_field_index("at")).to_numpy()[piece] + step
@@ -342,17 +385,39 @@ class _Repeats:
         return hit.select("id", "digest", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
 
 
-def _hash_of():
-    """A row's key in the bitmap of documents (the same as _key)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
-    def key(i, d):
-        import pandas as pd
-
-        return pd.Series(_key(i.fillna(-(2**63)).to_numpy(dtype=np.int64), d.to_numpy(dtype=np.int64)).view(np.int64))
-
-    return key(F.coalesce("id", F.lit(-(2**63))), "digest").alias("key")
+def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, digest, n): the number of windows of `words` words that another document of docs (id, text, digest, key) has
+    too."""
+
+    def anchors(batches):
+        for batch, b in blocks(batches, "text"):
+            r, _ = word_runs(b, words)
+            yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), pa.array(r["seg"].view(np.int64)), pa.array(_numbers(batch, "key")[r["doc"]])], names=["anchor", "seg", "own"])
+
+    other = F.min("own") != F.max("own")
+    again = stored(docs.mapInArrow(anchors, "anchor long, seg long, own long").groupBy("anchor").agg(other.alias("other"), (F.min("seg") != F.max("seg")).alias("mixed")).filter("other").select("anchor", "mixed"))
+    mixed = again.filter("mixed")
+    known, differ = Bitmap(again, "anchor", again.count()), Bitmap(mixed, "anchor", mixed.count())
+
+    def candidates(batches):
+        """Runs as a whole, or window by window where they differ; what the bitmaps let through by chance meets nobody."""
+        for batch, b in blocks(batches, "text"):
+            r, hashes = word_runs(b, words)
+            anchor = r["anchor"].view(np.int64)
+            hit = known.perhaps(anchor)
+            one = differ.perhaps(anchor) & hit
+            whole, single = np.flatnonzero(hit & ~one), np.flatnonzero(one)
+            if not len(whole) + len(single):
+                continue
+            own, digest = _numbers(batch, "key"), _numbers(batch, "digest")
+            doc = np.concatenate([r["doc"][whole], np.repeat(r["doc"][single], r["n"][single])])
+            what = np.concatenate([r["seg"][whole], *[hashes[i] for i in single]]).view(np.int64)
+            n = np.concatenate([r["n"][whole], np.ones(len(doc) - len(whole), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(own[doc]), _ids(batch).take(pa.array(doc)), pa.array(digest[doc]), pa.array(n)], names=["what", "own", "id", "digest", "n"])
+
+    met = stored(docs.mapInArrow(candidates, "what long, own long, id long, digest long, n long").groupBy("what", "own", "id", "digest").agg(F.sum("n").alias("n")))
+    both = met.groupBy("what").agg(other.alias("other")).filter("other").select("what")
+    return met.join(both, "what").groupBy("id", "digest").agg(F.sum("n").alias("n"))
 
 
 def _compare(held: list[pa.RecordBatch], length: int, keep: str):
@@ -377,38 +442,42 @@ def _compare(held: list[pa.RecordBatch], length: int, keep: str):
     yield pa.RecordBatch.from_arrays([cols["id"].take(take), cols["digest"].take(take), pa.array(at[who] + lo), pa.array(at[who] + hi + length)], names=["id", "digest", "s", "e"])
 
 
-OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_windows long, kept_text binary"
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "none", texts: bool = False, most_runs: int = MOST_RUNS) -> DataFrame:
-    """One row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept_text (bytes: a cut
-    may fall inside a character)."""
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "none", texts: bool = False, most_runs: int = MOST_RUNS, words: int = WORDS) -> DataFrame:
+    """One row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_windows (null if words is 0) and,
+    on demand, kept_text (bytes: a cut may fall inside a character). Other columns of df aren't read, so their names
+    can't clash; an empty table gives an empty one."""
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("digest", F.xxhash64("text")).withColumn("key", _key())
     found = stored(_Repeats(docs, length, keep, most_runs).intervals())
-    spans = found.groupBy("id", "digest").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("id").alias("si"), F.col("digest").alias("sd"), "spans")
-    owners = Bitmap(found.select(_hash_of()), "key", found.count())
+    cuts = found.select("id", "digest", F.struct("s", "e").alias("span"), F.lit(0).cast("long").alias("n"))
+    if words:
+        cuts = cuts.unionByName(shared_windows(docs, words).withColumn("span", F.lit(None).cast("struct<s:bigint,e:bigint>")))
+    spans = cuts.groupBy("id", "digest").agg(F.collect_list("span").alias("spans"), F.sum("n").alias("n")).select(F.col("id").alias("si"), F.col("digest").alias("sd"), "spans", "n")
+    owners = Bitmap(found.select(_key().alias("key")), "key", found.count())
 
     def prepare(batches):
         """Rows without repeats are finished here and move without their text."""
         for batch, b in blocks(batches, "text", PIECE):
-            col, ids = _ids(batch)
-            digest = _digests(b)
-            hit = owners.perhaps(_key(ids, digest).view(np.int64))
+            hit = owners.perhaps(_numbers(batch, "key"))
             sha = [None if hit[d] else hashlib.sha256(b.text(d)).hexdigest() for d in range(b.n)]
             body = [b.text(d).decode() if hit[d] or texts else None for d in range(b.n)]
-            yield pa.RecordBatch.from_arrays([col, pa.array(digest), pa.array(np.diff(b.start)), pa.array(sha, pa.string()), pa.array(body, pa.string())], names=["id", "digest", "n_bytes", "sha", "text"])
+            yield pa.RecordBatch.from_arrays([_ids(batch), pa.array(_numbers(batch, "digest")), pa.array(np.diff(b.start)), pa.array(sha, pa.string()), pa.array(body, pa.string())], names=["id", "digest", "n_bytes", "sha", "text"])
 
     ready = docs.mapInArrow(prepare, "id long, digest long, n_bytes long, sha string, text string")
-    both = ready.join(spans, F.col("id").eqNullSafe(F.col("si")) & (F.col("digest") == F.col("sd")), "left").select("id", "n_bytes", "sha", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"))
+    shared = F.coalesce("n", F.lit(0)) if words else F.lit(None)
+    both = ready.join(spans, F.col("id").eqNullSafe(F.col("si")) & (F.col("digest") == F.col("sd")), "left").select("id", "n_bytes", "sha", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"), shared.cast("long").alias("n"))
 
     def finish(batches):
         for batch in batches:
             rows = []
-            for i, size, sha, body, s, e in zip(*(batch.column(k) for k in range(6)), strict=True):
+            for i, size, sha, body, s, e, n in zip(*(batch.column(k) for k in range(7)), strict=True):
                 size = size.as_py()
-                if not s.is_valid:
+                if not s.is_valid or not len(s):
                     raw = body.as_py().encode() if body.is_valid else None
-                    rows.append((i.as_py(), size, 0, 0, sha.as_py() or hashlib.sha256(raw).hexdigest(), raw if texts else None))
+                    rows.append((i.as_py(), size, 0, 0, sha.as_py() or hashlib.sha256(raw).hexdigest(), n.as_py(), raw if texts else None))
                     continue
                 raw = body.as_py().encode()
                 cover = np.zeros(size + 1, np.int64)
@@ -417,9 +486,9 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
                 gone = np.cumsum(cover)[:-1] > 0
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 n_spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                rows.append((i.as_py(), size, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            c = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                rows.append((i.as_py(), size, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), n.as_py(), kept if texts else None))
+            c = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=[f.split()[0] for f in OUT.split(", ")])
 
     out = both.mapInArrow(finish, OUT).withColumnRenamed("id", id)

@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,42 @@ def test_matches_brute_force(spark, keep, most):
     assert all(hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 for r in got)
 
 
+def brute_windows(docs, words):
+    holders, per = defaultdict(set), {}
+    for d, t in docs:
+        w = (t or "").split()
+        per[d] = [tuple(w[i : i + words]) for i in range(len(w) - words + 1)]
+        for x in per[d]:
+            holders[x].add(t)
+    same = Counter(t for _, t in docs)
+    return {d: sum(len(holders[x]) > 1 or same[t] > 1 for x in per[d]) for d, t in docs}
+
+
+def test_shared_windows_of_words(spark, small):
+    docs = random_documents(5)
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), words=9).collect()
+    assert {r.doc_id: r.n_shared_windows for r in got} == brute_windows(docs, 9) and any(r.n_shared_windows for r in got)
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = repeats.remove_repeats(table).collect()
+    assert {r.doc_id: r.n_shared_windows for r in got} == brute_windows([(r.doc_id, r.text) for r in table.collect()], 51)
+
+
+def test_short_words_over_fifty(spark):
+    """A passage of 51 words under 400 bytes is told by its words."""
+    passage = " ".join(f"w{i}" for i in range(51))
+    docs = [(1, "some start " + passage), (2, passage + " another end"), (3, passage[:-3]), (4, "w0 w1 " * 60)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].n_shared_windows for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and not got[1].n_removed
+
+
+def test_nearest_smaller():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        age, group = r.permutation(40), np.sort(r.integers(0, 6, 40))
+        want = [next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and age[j] < age[i]), -1) for i in range(40)]
+        assert repeats.nearest_smaller(age, group).tolist() == want
+
+
 def test_whole_table(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = repeats.remove_repeats(spark.read.parquet(f"{small}/documents.parquet")).collect()
@@ -62,6 +98,11 @@ def test_whole_table(spark, small):
 
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
+    text = " ".join(f"x{i % 1700}" for i in range(5000))
+    found, hashes = repeats.word_runs(block(pa.array([text, "a b", " ".join(["y"] * 60)])), 51)
+    assert found["n"].sum() == 4950 + 10 and [len(h) for h in hashes] == found["n"].tolist()
+    by_place = {(d, a + i): h for d, a, hs in zip(found["doc"].tolist(), found["at"].tolist(), hashes, strict=True) for i, h in enumerate(hs.tolist())}
+    assert by_place[0, 7] == by_place[0, 1707] == by_place[0, 3407] and len(set(by_place.values())) == 1700 + 1
     r = random.Random(2)
     text = "".join(r.choice("abc ") for _ in range(5000))
     found = repeats.runs(block(pa.array([text])), 100)
