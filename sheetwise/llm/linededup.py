@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap
@@ -100,12 +99,13 @@ def windows(lines: Lines, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.nd
     return d, lo - lines.first[d], hi - lines.first[d], mix(h)
 
 
-def _digests(b: Block) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(b.buf[b.start[d] : b.start[d + 1]]) for d in range(b.n)], U64).view(np.int64)
+def _key() -> Column:
+    """A row's key in the bitmap of documents."""
+    return F.xxhash64("id", "digest")
 
 
-def _key(ids: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    return mix(ids.view(U64) ^ mix(digest.view(U64))).view(np.int64)
+def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
 
 
 def extend(later: np.ndarray, p: int, first: np.ndarray, q: int, gram: int) -> tuple[int, int]:
@@ -119,14 +119,13 @@ def extend(later: np.ndarray, p: int, first: np.ndarray, q: int, gram: int) -> t
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (id not null, text) -> (id, digest, lo, hi): runs of lines to remove, by number among the lines with a word."""
+    """docs (id not null, text, digest, key) -> (id, digest, lo, hi): runs of lines to remove, by number among the lines with a word."""
 
     def scan(batches):
         for batch, b in blocks(batches):
             lines = Lines(b)
             doc, line, h = fingerprints(lines, gram, win)
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(_digests(b)[doc]), pa.array(line)], names=["fp", "id", "digest", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_numbers(batch, "id")[doc]), pa.array(_numbers(batch, "digest")[doc]), pa.array(line)], names=["fp", "id", "digest", "line"])
 
     prints = stored(docs.mapInArrow(scan, "fp long, id long, digest long, line long"))
     firsts = prints.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("id", "digest", "line")).alias("f")).filter("m > 1").select("fp", F.col("f.id").alias("fid"), F.col("f.digest").alias("fdigest"), F.col("f.line").alias("fline"))
@@ -135,16 +134,14 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words:
     met = prints.join(firsts, "fp").filter(~same).groupBy("id", "digest", "fid", "fdigest", shift).agg(F.collect_set("line").alias("at"))
     met = stored(met)
     both = met.select("id", "digest").union(met.select("fid", "fdigest")).distinct()
-    owners = Bitmap(both.select(F.col("id"), F.col("digest"), _key_column().alias("key")), "key", met.count() * 2)
+    owners = Bitmap(both.select(_key().alias("key")), "key", met.count() * 2)
 
     def read(batches):
         for batch, b in blocks(batches):
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-            digest = _digests(b)
             lines = Lines(b)
-            hit = pa.array(np.flatnonzero(owners.perhaps(_key(ids, digest))))
+            hit = pa.array(np.flatnonzero(owners.perhaps(_numbers(batch, "key"))))
             hashes, words = lists(lines.hash.view(np.int64), lines.first, pa.int64()), lists(lines.words, lines.first, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(hit), pa.array(digest).take(hit), hashes.take(hit), words.take(hit)], names=["id", "digest", "lines", "words"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(_numbers(batch, c)).take(hit) for c in ("id", "digest")], hashes.take(hit), words.take(hit)], names=["id", "digest", "lines", "words"])
 
     lines = stored(docs.mapInArrow(read, "id long, digest long, lines array<long>, words array<long>").dropDuplicates(["id", "digest"]))
     fetched = met.join(lines, ["id", "digest"]).join(lines.select(F.col("id").alias("fid"), F.col("digest").alias("fdigest"), F.col("lines").alias("flines")), ["fid", "fdigest"])
@@ -175,39 +172,28 @@ def all_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def scan(batches):
         for batch, b in blocks(batches):
             doc, lo, hi, h = windows(Lines(b), min_words)
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(_digests(b)[doc]), pa.array(lo), pa.array(hi)], names=["fp", "id", "digest", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_numbers(batch, "id")[doc]), pa.array(_numbers(batch, "digest")[doc]), pa.array(lo), pa.array(hi)], names=["fp", "id", "digest", "lo", "hi"])
 
     prints = stored(docs.mapInArrow(scan, "fp long, id long, digest long, lo long, hi long"))
     firsts = stored(prints.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("id", "digest", "lo")).alias("f")).filter("m > 1").select("fp", "f"))
     return prints.join(firsts, "fp").filter(F.struct("id", "digest", "lo") > F.col("f")).select("id", "digest", "lo", "hi")
 
 
-def _key_column():
-    @F.pandas_udf("long")
-    def key(i, d):
-        import pandas as pd
-
-        return pd.Series(_key(i.to_numpy(dtype=np.int64), d.to_numpy(dtype=np.int64)))
-
-    return key("id", "digest")
-
-
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, win: int = WIN, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """df with n_lines, n_removed, n_runs and clean_text, for every row. Columns of these names give way. whole: every
     repeated run of `min_words` words goes (gram and win have no part in it), not only what winnowing finds."""
     new = ["n_lines", "n_removed", "n_runs", "clean_text"]
     rest = [c for c in df.columns if c not in new]
     place = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_ID)).alias("id")
-    docs = df.select(place, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(place, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text")).withColumn("key", _key())
     runs_of = all_repeated_runs(docs, min_words) if whole else repeated_runs(docs, gram, win, min_words)
     found = stored(runs_of.distinct())
-    owners = Bitmap(found.select("id", "digest", _key_column().alias("key")), "key", found.count())
+    owners = Bitmap(found.select(_key().alias("key")), "key", found.count())
     runs = stored(found.groupBy("id", "digest").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")).select(F.col("id").alias("_i"), F.col("digest").alias("_d"), "_lo", "_hi"))
 
     kinds = dict(df.dtypes)
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
-    src = df.select(row, place)
+    src = df.select(row, place, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest")).withColumn("key", _key())
     row_type = "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in rest) + ">"
 
     def with_text(batches):  # once in a row, so that shuffles carry it once
@@ -216,10 +202,8 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int
 
     def mark(batches):
         for batch, b in blocks(with_text(batches)):
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-            digest = _digests(b)
             n = np.diff(Lines(b).first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), pa.array(owners.perhaps(_key(ids, digest))), pa.array(n)], names=["row", "id", "digest", "hit", "n_lines"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(owners.perhaps(_numbers(batch, "key"))), pa.array(n)], names=["row", "id", "digest", "hit", "n_lines"])
 
     marked = src.mapInArrow(mark, f"row {row_type}, id long, digest long, hit boolean, n_lines long")
     clear = marked.filter(~F.col("hit")).select("row.*", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.col("row")[text].alias("clean_text"))
