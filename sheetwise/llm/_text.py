@@ -15,9 +15,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; a longer document makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Documents that a kernel handles at once, for those that keep numbers for each.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,8 +52,8 @@ def position_table(n: int) -> np.ndarray:
     return _POSITIONS
 
 
-#: Rows of documents that Spark hands to Python at once: they may be long.
-BATCH_ROWS = 2000
+#: Rows and bytes of documents that Spark hands to Python at once: they may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _LIBC: ctypes.CDLL | None = None
 
 
@@ -69,11 +69,13 @@ def release() -> None:
 
 
 def small_batches(spark) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, where it is higher."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES, where they are higher."""
+    conf = "spark.sql.execution.arrow."
+    now = int(spark.conf.get(f"{conf}maxRecordsPerBatch"))
     if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(f"{conf}maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"{conf}maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set(f"{conf}maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Block:
@@ -102,8 +104,8 @@ def block(column: pa.Array) -> Block:
     return Block(buf, at - at[0])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    """Slices of the batches with at most `limit` bytes of text, or one document."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """Slices of the batches with at most `limit` bytes of text and `most` documents, or one document."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -111,7 +113,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         lo = 0
         while lo < whole.n:
             hi = int(np.searchsorted(whole.start, whole.start[lo] + limit, "right")) - 1
-            hi = min(max(hi, lo + 1), lo + BLOCK_ROWS, whole.n)
+            hi = min(max(hi, lo + 1), lo + most, whole.n)
             s = whole.start[lo : hi + 1]
             yield batch.slice(lo, hi - lo), Block(whole.buf[s[0] : s[-1]], s - s[0])
             lo = hi
@@ -189,7 +191,7 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, type=kind))
 
 
-def rows(df, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[str] | None = None, limit: int = BLOCK_BYTES):
+def rows(df, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[str] | None = None, limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS):
     """df plus the columns `fields` (name, SQL type) that fn(Block, batch) returns as a dict of arrays.
 
     keep: the input columns that stay (all by default); an input column named like a new one gives way.
@@ -201,7 +203,7 @@ def rows(df, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[s
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{n}` {k}" for n, k in fields])
 
     def run(batches):
-        for batch, b in blocks(batches, text, limit):
+        for batch, b in blocks(batches, text, limit, most):
             out = fn(b, batch)
             got = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(got + [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=keep + names)

@@ -8,13 +8,14 @@ Texts with white space outside ASCII are encoded whole.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
 
 from ._text import Block, hash_runs
 
-_MOST_PIECES = 400_000  # pieces remembered by a worker
+_MOST_PIECES = 200_000  # pieces remembered by a worker: some 40 MB
 # Fixed value: how this vocabulary's pre-tokenizer splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = np.zeros(256, bool)
@@ -77,10 +78,22 @@ class Encoder:
         signs = _signs()
         special = {t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(signs[c] for c in word): i for word, i in spec["model"]["vocab"].items() if i not in special}
-        # ids of this kind of vocabulary follow the order of merges, so they serve as ranks; special strings are ordinary text
+        # ids of this kind of vocabulary follow the order of merges, so they serve as ranks
         self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.dtype = np.dtype("<u2") if len(spec["model"]["vocab"]) <= 1 << 16 else np.dtype("<u4")
         self._known: dict[int, bytes] = {}
+        # a piece with one of the vocabulary's special strings, which have no white space, is left to its own library
+        self._special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or b"(?!)")
+        self._path, self._library = path, None
+
+    def _ids(self, piece: bytes) -> list[int]:
+        if not self._special.search(piece):
+            return self._encode(piece.decode())
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library.encode(piece.decode(), add_special_tokens=False).ids
 
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         ws, we = pieces(b)
@@ -95,7 +108,7 @@ class Encoder:
         raw, lo, hi = b.buf.tobytes(), ws[first].tolist(), we[first].tolist()
         kind = self.dtype.char
         for i in fresh:
-            self._known[keys[i]] = array(kind, self._encode(raw[lo[i] : hi[i]].decode())).tobytes()
+            self._known[keys[i]] = array(kind, self._ids(raw[lo[i] : hi[i]])).tobytes()
         found = [self._known[k] for k in keys]
         pool = np.frombuffer(b"".join(found), self.dtype)
         size = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize

@@ -34,6 +34,8 @@ ROWS, MISS = 6, 1e-6
 #: MinHash samples folded into a sketch (the bands use the first of them), and its size.
 SAMPLES, BITS = 720, 2048
 WORDS = BITS // 64
+#: Documents whose samples a task holds at once: some 40 KB each.
+SIGNED = 256
 
 
 def bands_for(percent: int) -> int:
@@ -207,7 +209,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
         return {"c1": c1, "c2": c2, "n": np.diff(first), "keys": lists(keys.ravel(), np.arange(b.n + 1) * bands, pa.int64()), **{f"s{i}": np.ascontiguousarray(sketch[:, i]) for i in range(WORDS)}}
 
     fields = [("c1", "bigint"), ("c2", "bigint"), ("n", "bigint"), ("keys", "array<bigint>"), *[(s, "bigint") for s in _SKETCH]]
-    signed = stored(rows(texts, sign, fields, keep=["id"]))
+    signed = stored(rows(texts, sign, fields, keep=["id"], most=SIGNED))
     grouped = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _SKETCH])
     nodes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "*"))
 

@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -38,6 +37,10 @@ def test_ids_of_documents(spark, small):
     assert ours(texts) == reference(texts)
 
 
+def test_special_strings_have_their_own_ids():
+    assert ours(["a <|endoftext|> b", "<|endoftext|>"]) == [[64, 220, 50256, 275], [50256]]
+
+
 def check_schedule(queues, weights, window):
     s = Schedule(queues, weights, window)
     taken = np.full(s.total, -1)
