@@ -16,13 +16,23 @@ from pyspark.sql import DataFrame
 
 from ._text import U64, Block, hash_runs, mix, per_document, randoms, rows, tokens
 
-# Phrases that mark a short line as boilerplate, in lower case.
-BOILERPLATE = (
+# Whole words that mark a line as boilerplate, in lower case: phrases that hardly occur in prose, for lines of
+# up to 25 words, and labels of buttons and links, which do, for lines of up to 6 words. English, German, French, Spanish.
+PHRASES = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies",
     "we use cookies", "enable javascript", "javascript is disabled", "subscribe to our newsletter", "sign up for our newsletter",
-    "click here", "read more", "skip to content", "back to top", "share this article", "follow us on", "log in", "sign in",
-    "lorem ipsum", "add to cart", "powered by",
+    "skip to content", "share this article", "follow us on", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "wir verwenden cookies", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "nous utilisons des cookies", "accepter les cookies", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "utilizamos cookies", "aceptar cookies", "saltar al contenido",
 )
+LABELS = (
+    "click here", "read more", "back to top", "log in", "sign in", "add to cart", "powered by",
+    "hier klicken", "weiterlesen", "nach oben", "anmelden", "in den warenkorb",
+    "cliquez ici", "lire la suite", "haut de page", "se connecter", "ajouter au panier",
+    "haga clic aquí", "leer más", "volver arriba", "iniciar sesión", "añadir al carrito",
+)
+BOILERPLATE = [(p, 25) for p in PHRASES] + [(p, 6) for p in LABELS]
 # What ends a sentence, what separates navigation entries, and the symbols of the base rule.
 SENTENCE_END = b".!?:;\"')]}*_"
 NAVIGATION = b"|>\\/"
@@ -40,6 +50,7 @@ def _set(chars: bytes) -> np.ndarray:
 
 _IS_SYMBOL, _IS_END, _IS_NAV, _IS_DIGIT = _set(SYMBOLS), _set(SENTENCE_END), _set(NAVIGATION), _set(b"0123456789")
 _IS_END[0x80:] = True  # the last byte of any non-ASCII sign: closing quotes, ellipses and full stops of other scripts
+_IN_WORD = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
 _STARTS = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 
 FIELDS = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_lines", "bigint"), ("n_bad_lines", "bigint"), ("lost_chars", "bigint"), ("clean_text", "string")]
@@ -93,7 +104,8 @@ def measure(b: Block, max_loss: float = 0.5, min_words: int = 50, max_repeat: fl
     _, dup = _repeats(hash_runs(b.buf, ls, le), line_doc)
     words, cum = w1 - w0, np.concatenate([[0], np.cumsum(chars)])
     line_chars = cum[w1] - cum[w0]
-    bad = _bad_lines(b, ls, le, we[w1 - 1] - 1 if len(ls) else np.zeros(0, np.int64), words, line_chars, symbols)
+    only = np.diff(line_first)[line_doc] == 1
+    bad = _bad_lines(b, ls, le, we[w1 - 1] - 1 if len(ls) else np.zeros(0, np.int64), words, line_chars, symbols, only)
     lost = _sums(np.where(bad, line_chars, 0), line_first)
     word_chars = _sums(chars, first)
     failed = (n_words < min_words) | (n_repeat > max_repeat * n_words)
@@ -105,9 +117,9 @@ def measure(b: Block, max_loss: float = 0.5, min_words: int = 50, max_repeat: fl
     }
 
 
-def _bad_lines(b: Block, ls, le, last, words, chars, symbols) -> np.ndarray:
+def _bad_lines(b: Block, ls, le, last, words, chars, symbols, only) -> np.ndarray:
     """A line fails if it is navigation (separators for every third word), mostly symbols and digits, a short
-    line with a boilerplate phrase, or a short line (under 4 words) that neither ends a sentence nor is the
+    line with a boilerplate phrase as whole words, or a short line (under 4 words) that neither ends a sentence nor is the
     document's only line."""
     if not len(ls):
         return np.zeros(0, bool)
@@ -115,15 +127,18 @@ def _bad_lines(b: Block, ls, le, last, words, chars, symbols) -> np.ndarray:
     nav = count(_IS_NAV)
     marks = symbols[le] - symbols[ls] + count(_IS_DIGIT)
     bad = ((nav >= 3) & (3 * nav >= words)) | ((marks > 5) & (3 * marks > chars))
-    bad |= (words < 4) & ~_IS_END[b.buf[last]]
+    bad |= (words < 4) & ~_IS_END[b.buf[last]] & ~only
     low = b.buf.tobytes().lower()  # bytes.lower folds ASCII only
-    for phrase in BOILERPLATE:
-        at = low.find(phrase.encode())
+    for phrase, most in BOILERPLATE:
+        raw = phrase.encode()
+        at = low.find(raw)
         while at >= 0:
-            i = int(np.searchsorted(ls, at, "right")) - 1
-            if i >= 0 and at < le[i] and words[i] <= 25:
-                bad[i] = True
-            at = low.find(phrase.encode(), at + 1)
+            end = at + len(raw)
+            if not (at and _IN_WORD[low[at - 1]]) and not (end < len(low) and _IN_WORD[low[end]]):
+                i = int(np.searchsorted(ls, at, "right")) - 1
+                if i >= 0 and at < le[i] and words[i] <= most:
+                    bad[i] = True
+            at = low.find(raw, at + 1)
     return bad
 
 

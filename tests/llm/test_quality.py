@@ -36,6 +36,16 @@ def test_lines_go_first_then_documents(spark):
     assert not out[1].kept
 
 
+def test_boilerplate_needs_whole_words_in_short_lines(spark):
+    prose = ["The villa shows a bold design in the classical style of the valley.", "She keeps a popular blog in the city.", "People who want to read more find the old library across the long street open."]
+    buttons = ["Please log in now.", "Read more.", "Datenschutzerklärung und Impressum.", "Nous utilisons des cookies."]
+    filler = [f"Sentence {i} holds proper words{i} like apple{i} pear{i} plum{i} and grape{i} here." for i in range(10)]
+    row = quality_rules(spark.createDataFrame([(0, "\n".join(prose + buttons + filler))], "doc_id long, text string")).first()
+    assert row.n_bad_lines == 4 and all(p in row.clean_text for p in prose)
+    one = quality_rules(spark.createDataFrame([(0, "only line")], "doc_id long, text string")).first()
+    assert one.n_bad_lines == 0 and one.base_failed
+
+
 def test_odd_inputs(spark, odd_documents, no_documents):
     out = quality_rules(odd_documents.withColumnRenamed("n_chars", "n_words"))
     assert out.count() == 11 and out.columns.count("n_words") == 1
