@@ -9,7 +9,8 @@ By default the wanted shares are the present ones to the power `temper`, which l
 caller count for the values that occur; values without one get none. Without a topic column, a document's topic is the
 signs of three random projections of its words.
 
-Null texts have no tokens, null categories are the value "". Rows with equal ids and equal contents share a fate.
+Null texts have no tokens, null categories are the value "". Rows with equal ids and equal contents share a fate. An
+empty table gives an empty one. Columns of df named like a new one give way; no other name can clash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ._store import cut, stored
 from ._text import Block, hash_runs, rows, tokens
 
-TOPIC_BITS, MOST_CELLS, ROUNDS, TEMPER, TRIM = 3, 100_000, 50, 0.9, 1.5
+TOPIC_BITS, MOST_CELLS, ROUNDS, TEMPER, TRIM = 3, 100_000, 50, 0.7, 3.0
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -128,20 +129,24 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", targets:
     names = src.columns if keep is None else [*keep]
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     own = "topic" in src.columns
-    fields = [("n_tokens", "bigint"), ("_topic", "string")]
-    base = src.select("*", name("source").alias("_source"), name("lang").alias("_lang"), *([name("topic").alias("_own")] if own else []))
+    tag = "_"
+    while any(c.startswith(tag) for c in src.columns):  # names of its own that no column of df has
+        tag += "_"
+    s_, l_, t_, o_ = (f"{tag}{c}" for c in ("source", "lang", "topic", "own"))
+    fields = [("n_tokens", "bigint"), (t_, "string")]
+    base = src.select("*", name("source").alias(s_), name("lang").alias(l_), *([name("topic").alias(o_)] if own else []))
 
     def fn(b: Block, _: pa.RecordBatch) -> dict:
         m = measure(b)
-        return {"n_tokens": m["n_tokens"], "_topic": m["topic"]}
+        return {"n_tokens": m["n_tokens"], t_: m["topic"]}
 
     def measured(columns: list[str]) -> DataFrame:
-        out = rows(base, fn, fields, text, [*columns, "_source", "_lang", *(["_own"] if own else [])])
-        return out.withColumn("_topic", F.col("_own")) if own else out
+        out = rows(base, fn, fields, text, [*columns, s_, l_, *([o_] if own else [])])
+        return out.withColumn(t_, F.col(o_)) if own else out
 
-    cells = measured([]).select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens")
-    fitted = weights(cells, targets, temper, rounds, most_cells, trim).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "probability")
-    luck = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`"), F.col("_source"), F.col("_lang"), F.col("n_tokens"), F.lit(seed)), 11) / float(1 << 53)
-    out = measured(list(dict.fromkeys([*names, id]))).join(fitted, ["_source", "_lang", "_topic"])
+    cells = measured([]).select(F.col(s_).alias("source"), F.col(l_).alias("lang"), F.col(t_).alias("topic"), "n_tokens")
+    fitted = weights(cells, targets, temper, rounds, most_cells, trim).select(F.col("source").alias(s_), F.col("lang").alias(l_), F.col("topic").alias(t_), "weight", "probability")
+    luck = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id}`"), F.col(s_), F.col(l_), F.col("n_tokens"), F.lit(seed)), 11) / float(1 << 53)
+    out = measured(list(dict.fromkeys([*names, id]))).join(fitted, [s_, l_, t_])
     got = [F.col(f"`{c}`") for c in names if not (c == "topic" and own)]
-    return out.select(*got, "n_tokens", F.col("_topic").alias("topic"), "weight", "probability", (luck < F.col("probability")).alias("kept"))
+    return out.select(*got, "n_tokens", F.col(t_).alias("topic"), "weight", "probability", (luck < F.col("probability")).alias("kept"))

@@ -51,6 +51,18 @@ def test_joins_keep_empty_cells_and_all_rounds(spark, small, monkeypatch):
     assert seen == [mixing.ROUNDS]
 
 
+def test_defaults_meet_their_targets_and_names_may_clash(spark):
+    """Default targets, temper and trim on a table in which one source holds a third of all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumns({"_source": F.lit("x"), "_lang": F.lit(1), "_own": F.lit(2.0)})
+    out = mix_sources(docs, keep=["doc_id", "source", "lang", "_source", "_lang", "_own"]).cache()
+    assert out.columns[:6] == ["doc_id", "source", "lang", "_source", "_lang", "_own"] and out.count() == docs.count()
+    for d in ("source", "lang", "topic"):
+        rows = out.groupBy(d).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("probability") * F.col("n_tokens")).alias("p"), F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).alias("k")).collect()
+        whole, wanted = sum(r.p for r in rows), sum(r.n**mixing.TEMPER for r in rows)
+        assert all(abs(r.p / whole - r.n**mixing.TEMPER / wanted) < 0.02 for r in rows), (d, rows)
+        assert all(abs(r.k / sum(x.k for x in rows) - r.p / whole) < 0.05 for r in rows), (d, rows)
+
+
 def test_odd_inputs(spark, odd_documents, no_documents):
     out = mix_sources(odd_documents.withColumnRenamed("n_chars", "topic"))
     assert out.count() == 11 and out.columns == ["doc_id", "text", "lang", "source", "n_tokens", "topic", "weight", "probability", "kept"]
