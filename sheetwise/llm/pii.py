@@ -13,8 +13,9 @@ largest over the entities; at `generalise` it is replaced by its kind, at `remov
 any document, with the entity or without.
 
 Null texts count as empty. Rows are told apart by position, so repeated rows and null or equal ids stay apart in
-`disclosures`; `sanitise` joins on the id and gives rows with equal id and text the same result. Spans are code
-points, end exclusive.
+`disclosures`; `sanitise` joins on id and text, so rows of one id and different texts keep their own spans. Spans are code
+points, end exclusive. Texts of any length are searched whole, an empty table gives an empty one, and columns but id and
+text are only carried by `sanitise`, where those named like a new one give way.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,40}+(?![\p{L}\p{N}@_%+-])"
+TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{L}\p{N}@_%+-])"
 SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
 #: Code points on each side of an entity that tell its contexts apart.
 CONTEXT = 80
@@ -157,9 +158,14 @@ def listed(spans: Column, base_only: bool) -> Column:
 
 def sanitise(df: DataFrame, id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """df with `spans` and `clean_text`: base entities and generalised terms become [KIND], removed terms go."""
-    spans = disclosures(df, id, text, **thresholds).withColumnRenamed(id, "_id").dropDuplicates(["_id"])
     rest = df.drop("spans", "clean_text")
-    out = rest.join(spans, rest[id].eqNullSafe(spans["_id"]), "left").drop("_id")
+    tag = "_row"
+    while tag in rest.columns:
+        tag += "_"
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = rest.select(F.struct(F.col(id).alias("id"), digest.alias("digest")).alias(tag), F.col(text))
+    spans = disclosures(keyed, tag, text, **thresholds).dropDuplicates([tag])
+    out = rest.join(spans, rest[id].eqNullSafe(spans[tag]["id"]) & (digest == spans[tag]["digest"]), "left").drop(tag)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     flat = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), F.when((s["kind"] == 4) & (s["action"] == "remove"), "").otherwise(F.get(names, s["kind"])).alias("r"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

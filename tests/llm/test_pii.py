@@ -76,6 +76,12 @@ def test_telling_terms_go_wherever_they_stand(spark):
     assert [out[i].clean_text == fill[i] for i in range(200)] == [True] * 200
 
 
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    docs = spark.createDataFrame([(1, "write to bob@example.com now", 5), (1, "no personal data in this one at all", 6)], "doc_id long, text string, _row int")
+    out = {r._row: r for r in pii.sanitise(docs).collect()}
+    assert out[5].clean_text == "write to [EMAIL] now" and out[6].clean_text == "no personal data in this one at all"
+
+
 def test_odd_inputs(spark, odd_documents, no_documents):
     assert pii.sanitise(odd_documents.withColumnRenamed("source", "spans")).count() >= 11
     assert pii.disclosures(no_documents).count() == 0
