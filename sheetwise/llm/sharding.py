@@ -8,7 +8,8 @@ documents - shard, line community, node, id - and this order is cut into equal p
 most (law "rows"); only what lies across a cut, or is larger than a shard, is parted.
 
 Null texts count as empty and have size 1. Rows are told apart by their place in the order, so equal or null ids do no
-harm. Without shared lines the labels are hashes.
+harm. Without shared lines the labels are hashes. Lines of under MIN_LINE code points make no link (a parameter). Columns
+but id and text aren't read, so names can't clash; an empty table gives an empty one; texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from ._rank import global_rank
 from ._store import cut, stored
 
 SHARDS, ROUNDS, SLACK = 8, 4, 0.02
+#: Code points, without blanks at the ends, from which on a shared line links texts.
+MIN_LINE = 16
 
 
-def _links(df: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(df: DataFrame, nodes: DataFrame, min_line: int) -> DataFrame:
     """(node, line): the lines of each node that another node has, too."""
     line = F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
-    lines = df.select("h1", "h2", line).filter(F.length(F.trim("line")) >= 16).select("h1", "h2", F.xxhash64("line").alias("line"))
+    lines = df.select("h1", "h2", line).filter(F.length(F.trim("line")) >= min_line).select("h1", "h2", F.xxhash64("line").alias("line"))
     shared = lines.groupBy("line").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("line")
     return stored(lines.join(shared, "line").distinct().join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "line"))
 
@@ -33,7 +36,7 @@ def _links(df: DataFrame, nodes: DataFrame) -> DataFrame:
 def _round(links: DataFrame, labels: DataFrame, shards: int, capacity: float, step: int) -> DataFrame:
     """labels (node, docs, home, label) after one round."""
     at = links.join(labels.select("node", "label"), "node")
-    votes = at.groupBy("line").agg(F.count("*").alias("df"), *[F.count_if(F.col("label") == i).alias(f"v{i}") for i in range(shards)])
+    votes = stored(at.groupBy("line").agg(F.count("*").alias("df"), *[F.count_if(F.col("label") == i).alias(f"v{i}") for i in range(shards)]))  # written out, so that the join below may split a line that very many nodes share
     # a node's own vote counts for no shard, so it is taken off its own
     pull = at.join(votes, "line").groupBy("node").agg(*[F.sum((F.col(f"v{i}") - (F.col("label") == i).cast("int")) / F.col("df")).alias(f"p{i}") for i in range(shards)])
     stay = F.element_at(F.array(*[F.coalesce(F.col(f"p{i}"), F.lit(0.0)) for i in range(shards)]), F.col("label") + 1)
@@ -53,7 +56,7 @@ def _round(links: DataFrame, labels: DataFrame, shards: int, capacity: float, st
     return cut(wish.select("node", "docs", "home", F.when(luck < quota, F.col("to")).otherwise(F.col("label")).alias("label")))
 
 
-def shard(df: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(df: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, min_line: int = MIN_LINE) -> DataFrame:
     """One row per row of df: id, size (UTF-8 bytes + 1), text_crc32, law ("rows"), shard, slot (its place in the shard,
     from 0), grown_shard (null under this law)."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -61,7 +64,7 @@ def shard(df: DataFrame, id: str = "doc_id", text: str = "text", shards: int = S
     rows = stored(docs.select("id", "h1", "h2", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32")))
     total = rows.count()
     nodes = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("docs")).withColumn("node", F.monotonically_increasing_id()))
-    links = _links(docs, nodes)
+    links = _links(docs, nodes, min_line)
     home = links.groupBy("node").agg(F.min("line").alias("home"))
     labels = nodes.select("node", "docs", "h1").join(home, "node", "left").select("node", "docs", F.coalesce("home", "h1").alias("home"))
     labels = cut(labels.select("node", "docs", "home", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("label")))
