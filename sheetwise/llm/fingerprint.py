@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import parts_for
 from ._text import U64, Block, block, blocks, hash_runs, mix, per_document, rows, shingles, small_batches, tokens
 
 BINS, BITS, SHINGLE = 512, 4, 5
@@ -137,7 +138,7 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", p
 
     Equal ids follow one another in the order of a hash of their texts; null ids come last.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(df)
     src = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
