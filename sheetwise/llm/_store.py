@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,6 +42,13 @@ def drop(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that are no longer in use: it learns of them only
+    when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept where a lost executor can't take it along; partitions and row order stay."""
     shared_dir(df.sparkSession)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap
-from ._store import cut, stored
+from ._store import cut, stored, sweep
 from ._text import U64, Block, blocks, distinct, hash_runs, lists, mix, randoms, rows, shingles, tokens
 from .components import components
 
@@ -183,7 +183,11 @@ class _Search:
         placed = cut(self._placed())
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.comp").alias("main"))
-        rows_ = cut(placed.join(main, "key").join(self.nodes.select("node", "keys", *_SKETCH), "node"))
+        # 32 bits of a key tell which of two classes' bands is the first that they share. As Parquet, in the order of the
+        # classes, each class's numbers are kept once, however many buckets it is in.
+        short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
+        rows_ = stored(placed.join(main, "key").select("key", "band", "node", "comp", "main").join(self.nodes.select("node", short, *_SKETCH), "node").sortWithinPartitions("node"))
+        sweep(self.nodes.sparkSession)
         x, y = rows_.filter("comp <> main").alias("x"), rows_.alias("y")
         once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
         # a pair that shares several bands comes out of the first
