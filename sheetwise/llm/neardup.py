@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._bitmap import Bitmap
 from ._store import cut, stored, sweep
@@ -34,6 +35,8 @@ ROWS, MISS = 6, 1e-6
 #: MinHash samples folded into a sketch (the bands use the first of them), and its size.
 SAMPLES, BITS = 720, 2048
 WORDS = BITS // 64
+#: Of the pairs between two components as many are confirmed at a time, closest first; at last all that are left.
+TRIES = (1, 32, None)
 #: Documents whose samples a task holds at once: some 40 KB each.
 SIGNED = 256
 
@@ -169,14 +172,16 @@ class _Search:
         return self.buckets.join(self.labels, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
 
     def star(self, seed: int) -> None:
-        """Compares each class with its bucket's pivot."""
+        """Compares each class with its buckets' pivots and confirms the closest one: what else links them is left to the
+        next rounds, so that sets move once for each class."""
         placed = cut(self._placed())
         rank = F.struct((F.col("node") if not seed else F.xxhash64("node", F.lit(seed))).alias("o"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
         active = placed.groupBy("key").agg(F.min(rank).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "p.pivot", "p.pivot_comp")
-        pairs = placed.join(active, "key").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = placed.join(active, "key").filter("comp <> pivot_comp").select(F.col("node").alias("own"), "pivot").distinct()
         x, y = self.sketches.alias("x"), self.sketches.alias("y")
-        close = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_apart("x", "y") <= self.limit).select("a", "b")
-        self._join(self._confirm(stored(close)))
+        close = pairs.join(x, F.col("own") == F.col("x.node")).join(y, F.col("pivot") == F.col("y.node")).select("own", "pivot", _apart("x", "y").alias("d")).filter(F.col("d") <= self.limit)
+        nearest = close.groupBy("own").agg(F.min(F.struct("d", "pivot")).alias("p")).select("own", "p.pivot")
+        self._join(self._confirm(stored(nearest.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct())))
 
     def rest(self) -> None:
         """Compares, in buckets that still span components, what lies outside the largest one with everything."""
@@ -192,12 +197,21 @@ class _Search:
         once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
         # a pair that shares several bands comes out of the first
         first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
-        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & (_apart("x", "y") <= self.limit) & first)
-        pairs = close.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        self._join(self._confirm(stored(pairs)))
-
-
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, stars: int = 2) -> DataFrame:
+        apart = _apart("x", "y")
+        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & (apart <= self.limit) & first)
+        left = stored(close.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), apart.alias("d")).distinct())
+        for most in TRIES:
+            side = lambda n: F.coalesce(F.col(f"c{n}.comp"), F.col(n))
+            at = left.join(self.labels.alias("ca"), F.col("a") == F.col("ca.node"), "left").join(self.labels.alias("cb"), F.col("b") == F.col("cb.node"), "left")
+            open_ = at.select("a", "b", "d", F.least(side("a"), side("b")).alias("lo"), F.greatest(side("a"), side("b")).alias("hi")).filter("lo <> hi")
+            if most:
+                best = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("d", "a", "b"))
+                open_ = stored(open_.withColumn("k", best))
+                left, open_ = open_.filter(F.col("k") > most).select("a", "b", "d"), open_.filter(F.col("k") <= most)
+            self._join(self._confirm(stored(open_.select("a", "b"))))
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, stars: int = 3) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable), kept (id = component_id).
 
     Rows with equal texts, equal ids or null ids each keep their row. An id that is null counts as the largest; a
