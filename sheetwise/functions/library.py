@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.compiler import MOST_CELLS, Arr, Compiler, Lambda, Rng
+from ..plans.compiler import MOST_CELLS, Arr, Compiler, Grid, Lambda, Rng, grid_of, packed
 from .criteria import matches
 from .scalar import VALUES, bad, bind, date_of, numbers, text_of, trunc, weekdays_between, whole
 from .values import Unsupported, Val, choose, error, first_error, lit, logical, num, text, to_bool, to_number, to_text
@@ -28,6 +28,34 @@ def tree(name: str, low: int, high: int | None = None):
 # -- aggregates --------------------------------------------------------------------------------------------------------
 
 
+def _some(a: Column) -> Column:
+    """The elements that aren't null."""
+    return F.filter(a, lambda x: x.isNotNull())
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
+def _first(a: Column) -> Column:
+    return F.get(_some(a), F.lit(0))
+
+
+def _seen_number(v: Val, logicals: bool, texts: bool) -> Column | None:
+    """The number that a cell of a range counts as."""
+    x = v.n
+    if logicals and v.b is not None:
+        x = v.b.cast("double") if x is None else F.coalesce(x, v.b.cast("double"))
+    if texts and v.s is not None:
+        zero = F.when(v.s.isNotNull(), 0.0)
+        x = zero if x is None else F.coalesce(x, zero)
+    return x
+
+
+def _sentinel(err: Column) -> Column:
+    return F.when(err.startswith("#UNSUPPORTED") | err.startswith("#BLOCKED") | err.startswith("#RESOURCE"), err)
+
+
 class Cells:
     """The arguments of an aggregate: single values (which coerce), array cells and ranges (which don't)."""
 
@@ -40,19 +68,25 @@ class Cells:
                 self.items += [("cell", v, None) for v in got.cells()]
             elif isinstance(got, Rng):
                 self.items.append(("range", got.val, got.table))
+            elif isinstance(got, Grid):
+                self.items.append(("grid", got, None))
             else:
                 self.items.append(("direct", c.scalar(got), None))
 
     def errors(self, sentinels_only: bool = False) -> Column | None:
         out = []
         for how, v, table in self.items:
+            if how == "grid":
+                if "e" in v.lanes:
+                    out.append(_first(v.each(lambda x: _sentinel(x.err) if sentinels_only else x.err)))
+                continue
             err = v.err
             if how == "direct":
                 err = to_number(v)[1]
             if err is None:
                 continue
             if sentinels_only and how != "direct":
-                err = F.when(err.startswith("#UNSUPPORTED") | err.startswith("#BLOCKED") | err.startswith("#RESOURCE"), err)
+                err = _sentinel(err)
             out.append(self.c.reduce(table, F.min(err)) if how == "range" else err)
         return first_error(*out)
 
@@ -63,31 +97,33 @@ class Cells:
             if how == "direct":
                 out.append((how, F.when(v.is_blank(), F.lit(0.0)).otherwise(to_number(v)[0]) if v.blank else to_number(v)[0], None))
                 continue
-            x = v.n
-            if logicals and v.b is not None:
-                x = v.b.cast("double") if x is None else F.coalesce(x, v.b.cast("double"))
-            if texts and v.s is not None:
-                zero = F.when(v.s.isNotNull(), 0.0)
-                x = zero if x is None else F.coalesce(x, zero)
+            if how == "grid":
+                lanes = set(v.lanes) & {"n", *("b" * logicals), *("s" * texts)}
+                if lanes:
+                    out.append((how, _some(v.each(lambda x: _seen_number(x, logicals, texts))), None))
+                continue
+            x = _seen_number(v, logicals, texts)
             if x is not None:
                 out.append((how, x, table))
         return out
 
-    def fold(self, parts: list, agg: Callable[[Column], Column], each: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column | None:
-        done = [self.c.reduce(t, agg(x)) if how == "range" else each(x) for how, x, t in parts]
+    def fold(self, parts: list, agg: Callable[[Column], Column], each: Callable[[Column], Column], join: Callable[[Column, Column], Column], over: Callable[[Column], Column]) -> Column | None:
+        """agg: of a range as it stands in an aggregation, over: of the numbers of a grid, each: of a single value."""
+        done = [self.c.reduce(t, agg(x)) if how == "range" else over(x) if how == "grid" else each(x) for how, x, t in parts]
         return reduce(join, done) if done else None
 
     def sum(self, parts, of=lambda x: x) -> Column:
-        got = self.fold([(h, of(x), t) for h, x, t in parts], lambda x: F.coalesce(F.sum(x), F.lit(0.0)), lambda x: F.coalesce(x, F.lit(0.0)), lambda a, b: a + b)
+        mapped = [(h, F.transform(x, of) if h == "grid" else of(x), t) for h, x, t in parts]
+        got = self.fold(mapped, lambda x: F.coalesce(F.sum(x), F.lit(0.0)), lambda x: F.coalesce(x, F.lit(0.0)), lambda a, b: a + b, _total)
         return F.lit(0.0) if got is None else got
 
     def count(self, parts) -> Column:
-        got = self.fold(parts, lambda x: F.count(x), lambda x: x.isNotNull().cast("bigint"), lambda a, b: a + b)
+        got = self.fold(parts, lambda x: F.count(x), lambda x: x.isNotNull().cast("bigint"), lambda a, b: a + b, lambda a: F.size(_some(a)).cast("bigint"))
         return F.lit(0) if got is None else got
 
     def array(self, parts) -> Column:
         """All numbers as an array, for what has no partial form; a range is gathered, so groups must be of bounded size."""
-        done = [self.c.reduce(t, F.collect_list(x)) if h == "range" else F.filter(F.array(x), lambda y: y.isNotNull()) for h, x, t in parts]
+        done = [self.c.reduce(t, F.collect_list(x)) if h == "range" else x if h == "grid" else _some(F.array(x)) for h, x, t in parts]
         return F.concat(*done) if done else F.array().cast("array<double>")
 
 
@@ -117,23 +153,23 @@ aggregate("AVERAGE")(_mean)
 aggregate("AVERAGEA", logicals=True, texts=True)(_mean)
 
 
-def _extreme(agg, pick):
+def _extreme(agg, pick, over):
     def fn(c, p):
-        got = c.fold(p, agg, lambda x: x, lambda a, b: pick(a, b))
+        got = c.fold(p, agg, lambda x: x, lambda a, b: pick(a, b), over)
         return (F.lit(0.0) if got is None else F.coalesce(got, F.lit(0.0))), None
 
     return fn
 
 
 for _name, _logicals in (("MIN", False), ("MINA", True)):
-    aggregate(_name, logicals=_logicals, finite=False)(_extreme(F.min, F.least))
+    aggregate(_name, logicals=_logicals, finite=False)(_extreme(F.min, F.least, F.array_min))
 for _name, _logicals in (("MAX", False), ("MAXA", True)):
-    aggregate(_name, logicals=_logicals, finite=False)(_extreme(F.max, F.greatest))
+    aggregate(_name, logicals=_logicals, finite=False)(_extreme(F.max, F.greatest, F.array_max))
 
 
 @aggregate("PRODUCT")
 def _product(c, p):
-    got = c.fold(p, lambda x: F.coalesce(F.product(x), F.lit(1.0)), lambda x: F.coalesce(x, F.lit(1.0)), lambda a, b: a * b)
+    got = c.fold(p, lambda x: F.coalesce(F.product(x), F.lit(1.0)), lambda x: F.coalesce(x, F.lit(1.0)), lambda a, b: a * b, lambda a: F.aggregate(a, F.lit(1.0), lambda s, x: s * x))
     return (F.lit(0.0) if got is None else F.when(c.count(p) == 0, 0.0).otherwise(got)), None
 
 
@@ -165,8 +201,13 @@ def _count(c, args, env):
     for how, v, t in cells.items:
         if how == "direct":
             parts.append((how, F.when(F.coalesce(to_number(v)[1].isNull(), F.lit(True)) if to_number(v)[1] is not None else F.lit(True), to_number(v)[0]), t))
+        elif how == "grid":
+            parts.append((how, v.each(lambda x: x.n), t)) if "n" in v.lanes else None
         elif v.n is not None:
             parts.append((how, v.n, t))
+    if any(h == "grid" and "e" in v.lanes for h, v, _ in cells.items):
+        found = cells.errors(True)
+        return num(cells.count(parts).cast("double"), None if found is None else _sentinel(found), False)
     errs = [v.err for h, v, _ in cells.items if h == "direct" and v.err is not None]
     return num(cells.count(parts).cast("double"), first_error(*[F.when(~e.startswith("#U") & ~e.startswith("#B") & ~e.startswith("#RES"), None).otherwise(e) for e in errs]), False)
 
@@ -174,8 +215,8 @@ def _count(c, args, env):
 @tree("COUNTA", 1, 255)
 def _counta(c, args, env):
     cells = Cells(c, args, env)
-    parts = [(h, F.when(~v.is_blank(), 1), t) for h, v, t in cells.items]
-    return num(cells.count(parts).cast("double"), cells.errors(True) if any(v.err is not None for _, v, _ in cells.items) and not any(h == "direct" for h, _, _ in cells.items) else None, False)
+    parts = [(h, v.each(lambda x: F.when(~x.is_blank(), 1)) if h == "grid" else F.when(~v.is_blank(), 1), t) for h, v, t in cells.items]
+    return num(cells.count(parts).cast("double"), cells.errors(True) if any(h == "grid" or v.err is not None for h, v, _ in cells.items) and not any(h == "direct" for h, _, _ in cells.items) else None, False)
 
 
 def _truths(c, args, env):
@@ -187,6 +228,13 @@ def _truths(c, args, env):
             out.append((how, b, t))
             errs.append(e)
             continue
+        if how == "grid":
+            if "e" in v.lanes:
+                errs.append(_first(v.each(lambda x: x.err)))
+            truth = lambda x: F.coalesce(*[k for k in (x.b, None if x.n is None else x.n != 0) if k is not None])
+            if set(v.lanes) & {"n", "b"}:
+                out.append((how, _some(v.each(truth)), t))
+            continue
         if v.err is not None:
             errs.append(c.reduce(t, F.min(v.err)) if how == "range" else v.err)
         x = v.b
@@ -197,20 +245,20 @@ def _truths(c, args, env):
     return cells, out, first_error(*errs)
 
 
-def _logic(name, agg, join, neutral):
+def _logic(name, agg, join, neutral, over):
     def call(c, args, env):
         cells, parts, err = _truths(c, args, env)
         if not parts:
             return error("#VALUE!")
-        got = cells.fold(parts, lambda x: F.coalesce(agg(x), F.lit(neutral)), lambda x: F.coalesce(x, F.lit(neutral)), join)
+        got = cells.fold(parts, lambda x: F.coalesce(agg(x), F.lit(neutral)), lambda x: F.coalesce(x, F.lit(neutral)), join, over)
         return logical(got, first_error(err, bad(cells.count(parts) == 0, "#VALUE!")))
 
     tree(name, 1, 255)(call)
 
 
-_logic("AND", F.bool_and, lambda a, b: a & b, True)
-_logic("OR", F.bool_or, lambda a, b: a | b, False)
-_logic("XOR", lambda x: F.bit_xor(x.cast("int")) == 1, lambda a, b: a != b, False)
+_logic("AND", F.bool_and, lambda a, b: a & b, True, lambda a: F.forall(a, lambda x: x))
+_logic("OR", F.bool_or, lambda a, b: a | b, False, lambda a: F.exists(a, lambda x: x))
+_logic("XOR", lambda x: F.bit_xor(x.cast("int")) == 1, lambda a, b: a != b, False, lambda a: F.size(F.filter(a, lambda x: x)) % 2 == 1)
 
 
 def _kth(name, largest):
@@ -236,8 +284,8 @@ def _rank(c, args, env):
     parts = cells.numbers()
     if any(h == "range" for h, _, _ in parts):
         raise Unsupported("ranks within a table are operators.ordered.rank")
-    beat = cells.sum([(h, F.when(F.when(order == 0, v > x).otherwise(v < x), 1.0), t) for h, v, t in parts])
-    seen = cells.sum([(h, F.when(v == x, 1.0), t) for h, v, t in parts])
+    beat = cells.sum(parts, lambda v: F.when(F.when(order == 0, v > x).otherwise(v < x), 1.0))
+    seen = cells.sum(parts, lambda v: F.when(v == x, 1.0))
     return num(beat + 1, first_error(e, cells.errors(), oe, bad(seen == 0, "#N/A")), False)
 
 
@@ -246,6 +294,8 @@ def _two(c, args, env) -> tuple[list, list]:
     a, b = (c.compile(x, env) for x in args)
     if isinstance(a, Rng) and isinstance(b, Rng) and a.table == b.table:
         return [("range", a.val, b.val, a.table)], []
+    if isinstance(a, Grid) or isinstance(b, Grid):
+        return [("grid", grid_of(a), grid_of(b), None)], []
     if isinstance(a, Arr) and isinstance(b, Arr):
         if len(a.cells()) != len(b.cells()):
             return [], ["#N/A"]
@@ -253,6 +303,12 @@ def _two(c, args, env) -> tuple[list, list]:
     raise Unsupported("two ranges of one table or two arrays")
 
 
+def _pearson(two: Column, mx: Column, my: Column) -> Column:
+    part = lambda f: F.aggregate(two, F.lit(0.0), lambda s, v: s + f(v))
+    xy, xx, yy = part(lambda v: (v["x"] - mx) * (v["y"] - my)), part(lambda v: (v["x"] - mx) ** 2), part(lambda v: (v["y"] - my) ** 2)
+    return F.try_divide(xy, F.sqrt(xx * yy))
+
+
 @tree("CORREL", 2)
 def _correl(c, args, env):
     pairs, errs = _two(c, args, env)
@@ -263,6 +319,15 @@ def _correl(c, args, env):
         r = c.reduce(t, F.corr(a.n, b.n))
         errs = first_error(*[c.reduce(t, F.min(v.err)) for v in (a, b) if v.err is not None])
         return num(r, first_error(errs, bad(r.isNull() | F.isnan(r), "#DIV/0!")))
+    if pairs[0][0] == "grid":
+        _, a, b, _ = pairs[0]
+        if "n" not in a.lanes or "n" not in b.lanes:
+            return error("#DIV/0!")
+        two = F.filter(F.zip_with(a.each(lambda v: v.n), b.each(lambda v: v.n), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+        mean = lambda k: F.try_divide(_total(F.transform(two, lambda v: v[k])), F.size(two))
+        r = bind(lambda two, mx, my: _pearson(two, mx, my), two, mean("x"), mean("y"))
+        errs = first_error(*[_first(g.each(lambda v: v.err)) for g in (a, b) if "e" in g.lanes])
+        return num(r, first_error(bad(F.size(a.cells) != F.size(b.cells), "#N/A"), errs, bad(r.isNull(), "#DIV/0!")))
     both = [F.when(x.n.isNotNull() & y.n.isNotNull(), F.struct(x.n.alias("x"), y.n.alias("y"))) for _, x, y, _ in pairs if x.n is not None and y.n is not None]
     n = float(len(both))
     if not both:
@@ -281,6 +346,12 @@ def _sumproduct(c, args, env):
         product = reduce(lambda a, b: a * b, [F.coalesce(g.val.n, F.lit(0.0)) if g.val.n is not None else F.lit(0.0) for g in got])
         total = c.reduce(got[0].table, F.coalesce(F.sum(product if err is None else F.when(err.isNull(), product)), F.lit(0.0)))
         return num(total, None if err is None else c.reduce(got[0].table, F.min(err)))
+    if any(isinstance(g, Grid) for g in got):
+        zero = lambda *vs: num(reduce(lambda a, b: a * b, [F.coalesce(v.n, F.lit(0.0)) if v.n is not None else F.lit(0.0) for v in vs]), first_error(*[v.err for v in vs]), False)
+        grids = [grid_of(g if isinstance(g, (Grid, Arr)) else Arr([[c.scalar(g)]])) for g in got]
+        differ = reduce(lambda a, b: a | b, [(_col(g.height) != _col(grids[0].height)) | (_col(g.width) != _col(grids[0].width)) for g in grids])
+        made = c.lift_grids(zero, grids)
+        return num(_total(made.each(lambda v: v.n)), first_error(bad(differ, "#VALUE!"), _first(made.each(lambda v: v.err))))
     arrays = [g if isinstance(g, Arr) else Arr([[c.scalar(g)]]) for g in got]
     if len({a.shape for a in arrays}) > 1:
         return error("#VALUE!")
@@ -290,10 +361,21 @@ def _sumproduct(c, args, env):
     return num(reduce(lambda a, b: a + b, products), err)
 
 
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 # The function that a SUBTOTAL code stands for.
 SUBTOTALS = {1: "AVERAGE", 2: "COUNT", 3: "COUNTA", 4: "MAX", 5: "MIN", 6: "PRODUCT", 7: "STDEV", 8: "STDEVP", 9: "SUM", 10: "VAR", 11: "VARP"}
 
 
+def _variance(cells: Cells, parts: list, sample: bool) -> tuple[Column, Column]:
+    """Of single values and grids; the count that divides."""
+    n, mean = cells.count(parts), F.try_divide(cells.sum(parts), cells.count(parts))
+    by = n - 1 if sample else n
+    return F.try_divide(cells.sum(parts, lambda x: (x - mean) * (x - mean)), by), by
+
+
 def _spread(fn):
     return lambda c, p: (c.c.reduce(p[0][2], fn(p[0][1])) if p and p[0][0] == "range" else F.lit(None).cast("double"), None)
 
@@ -323,10 +405,17 @@ def _subtotal(c, args, env):
         if isinstance(got, Rng):
             keep = lambda x: None if x is None else F.when(shown, x)
             got = Rng(Val(keep(got.val.n), keep(got.val.s), keep(got.val.b), keep(got.val.err), True), got.table)
+        elif isinstance(got, Grid) and got.flagged:
+            out = lambda x: x["t"] | x["h"] if code > 100 else x["t"]  # noqa: E731, B023
+            got = Grid(F.transform(got.cells, lambda x: F.struct(*[F.when(~out(x), x[k]).alias(k) for k in ("n", "s", "b", "err")])), got.height, got.width, got.lanes)
         seen[f"_A{i}"] = got
     refs = [("name", None, k) for k in seen]
     if name in ("STDEVP", "VAR", "VARP"):
         cells = Cells(inner, refs, seen)
+        parts = cells.numbers()
+        if parts and all(h != "range" for h, _, _ in parts):
+            var, by = _variance(cells, parts, name == "VAR")
+            return num(F.sqrt(var) if name == "STDEVP" else var, first_error(cells.errors(), bad(by < 1, "#DIV/0!")))
         fn = {"STDEVP": F.stddev_pop, "VAR": F.var_samp, "VARP": F.var_pop}[name]
         got, _ = _spread(fn)(cells, cells.numbers())
         return num(got, first_error(cells.errors(), bad(got.isNull(), "#DIV/0!")))
@@ -366,6 +455,8 @@ def _conditional(c, values, tests, env, how: str):
             hit = reduce(lambda a, b: a & b, [matches(x.cells()[i], k) for x, k in got])
             items.append(("cell", v.n, hit, v.err))
         red = None
+    elif all(isinstance(x, (Arr, Grid)) for x in [target, *[x for x, _ in got]]):
+        return _conditional_grids(grid_of(target), [(grid_of(x), k) for x, k in got], how, c.anchored and values is not None and len(tests) == 1 and how in ("sum", "mean"))
     else:
         raise Unsupported("conditions need ranges or arrays")
 
@@ -390,6 +481,27 @@ def _conditional(c, values, tests, env, how: str):
     return num(F.coalesce(fold(agg, lambda x: x, pick), zero), err, False)
 
 
+def _conditional_grids(target: Grid, tests: list, how: str, anchored: bool) -> Val:
+    """Conditions on grids, cell by cell. anchored: SUMIF and AVERAGEIF, whose target is refused if smaller."""
+    grids = [target, *[g for g, _ in tests]]
+    zipped = F.arrays_zip(*[g.cells.alias(f"g{i}") for i, g in enumerate(grids)])
+    differ = reduce(lambda a, b: a | b, [(_col(g.height) != _col(target.height)) | (_col(g.width) != _col(target.width)) for g in grids])
+
+    def met(x):
+        return reduce(lambda a, b: a & b, [matches(g.val(x[f"g{i + 1}"]), k) for i, (g, k) in enumerate(tests)])
+
+    hit = F.filter(zipped, lambda x: F.coalesce(met(x), F.lit(False)))
+    err = first_error(bad(differ, "#UNSUPPORTED!" if anchored else "#VALUE!"), _first(F.transform(hit, lambda x: x["g0"]["err"])) if "e" in target.lanes and how != "count" else None)
+    if how == "count":
+        return num(F.size(hit).cast("double"), err, False)
+    values = _some(F.transform(hit, lambda x: x["g0"]["n"]))
+    if how == "sum":
+        return num(_total(values), err)
+    if how == "mean":
+        return num(F.try_divide(_total(values), F.size(values)), first_error(err, bad(F.size(values) == 0, "#DIV/0!")))
+    return num(F.coalesce((F.array_max if how == "max" else F.array_min)(values), F.lit(0.0)), err, False)
+
+
 def _pairs(args):
     return list(zip(args[::2], args[1::2], strict=True))
 
@@ -448,6 +560,9 @@ def _flows(c, args, env) -> tuple[Column, Column | None]:
     cells = Cells(c, args, env)
     done = []
     for how, v, t in cells.items:
+        if how == "grid":
+            done.append(_some(v.each(lambda x: x.n)) if "n" in v.lanes else F.array().cast("array<double>"))
+            continue
         if v.n is None and how != "direct":
             continue
         x = to_number(v)[0] if how == "direct" else v.n
@@ -581,13 +696,17 @@ def _texts(c, args, env):
     cells = Cells(c, args, env)
     done = []
     for how, v, t in cells.items:
+        if how == "grid":
+            done.append(v.each(lambda x: to_text(x)[0]))
+            continue
         s = to_text(v)[0]
         if how == "range":
             order = F.col(ORDER) if ORDER in (c.df if t is None else c.tables[t]).columns else s
             done.append(F.transform(F.array_sort(c.reduce(t, F.collect_list(F.struct(order.alias("o"), s.alias("s"))))), lambda x: x["s"]))
         else:
             done.append(F.array(s))
-    errs = [c.reduce(t, F.min(v.err)) if h == "range" else v.err for h, v, t in cells.items if v.err is not None]
+    errs = [c.reduce(t, F.min(v.err)) if h == "range" else v.err for h, v, t in cells.items if h != "grid" and v.err is not None]
+    errs += [_first(v.each(lambda x: x.err)) for h, v, _ in cells.items if h == "grid" and "e" in v.lanes]
     return F.concat(*done), first_error(*errs)
 
 
@@ -625,8 +744,12 @@ def _text(c, args, env):
 # -- arrays of known shape ---------------------------------------------------------------------------------------------------
 
 
-def _array(c, node, env) -> Arr:
+def _array(c, node, env, grids: bool = False) -> Arr | Grid:
     got = c.compile(node, env)
+    if isinstance(got, Grid):
+        if grids:
+            return got
+        raise Unsupported("an array whose size depends on data")
     return got if isinstance(got, Arr) else Arr([[c.scalar(got)]])
 
 
@@ -673,14 +796,32 @@ for _name in ("WEBSERVICE", "RTD", "STOCKHISTORY"):
 
 
 def _flat(c, args, env):
-    a, ignore, by_column = _array(c, args[0], env), int(_constant(c, _at(args, 1), env, 0)), bool(_constant(c, _at(args, 2), env, 0))
-    if ignore:
-        raise Unsupported("leaving out cells makes a shape that depends on data")
+    a, by_column = _array(c, args[0], env), bool(_constant(c, _at(args, 2), env, 0))
     return a.cells() if not by_column else [r[j] for j in range(a.shape[1]) for r in a.rows]
 
 
-tree("TOCOL", 1, 3)(lambda c, a, env: Arr([[v] for v in _flat(c, a, env)]))
-tree("TOROW", 1, 3)(lambda c, a, env: Arr([_flat(c, a, env)]))
+def _flattened(name, down):
+    """One column or row; leaving out blanks (1), errors (2) or both (3) makes its size depend on data."""
+
+    def call(c, args, env):
+        ignore = int(_constant(c, _at(args, 1), env, 0))
+        if ignore not in (0, 1, 2, 3):
+            return error("#VALUE!")
+        if not ignore and not isinstance(c.compile(args[0], env), Grid):
+            flat = _flat(c, args, env)
+            return Arr([[v] for v in flat] if down else [flat])
+        g = _grid(c, args[0], env)
+        g = _turned(g) if _flag(c, _at(args, 2), env) else g
+        gone = lambda v: (v.is_blank() if ignore & 1 else F.lit(False)) | (v.err.isNotNull() if ignore & 2 and v.err is not None else F.lit(False))
+        kept = F.filter(F.flatten(_lines(g)), lambda x: ~gone(g.val(x)))
+        n = bind(F.size, kept)
+        return _sized(kept, n if down else 1, 1 if down else n, bad(n == 0, "#CALC!"), g.lanes)
+
+    tree(name, 1, 3)(call)
+
+
+_flattened("TOCOL", True)
+_flattened("TOROW", False)
 
 
 @tree("VSTACK", 1)
@@ -775,7 +916,14 @@ _chosen("CHOOSECOLS", 1)
 
 @tree("INDEX", 2, 3)
 def _index(c, args, env):
-    a = _array(c, args[0], env)
+    a = _array(c, args[0], env, True)
+    if isinstance(a, Grid):
+        (i, e), (j, f) = to_number(c.value(args[1], env)), to_number(c.value(args[2], env)) if len(args) > 2 else (F.lit(1.0), None)
+        if len(args) == 2:
+            i, j = F.when(_col(a.height) == 1, F.lit(1.0)).otherwise(i), F.when(_col(a.height) == 1, i).otherwise(j)
+        i, j = trunc(i), trunc(j)
+        err = first_error(e, f, bad((i == 0) | (j == 0), "#UNSUPPORTED!"), bad((i < 1) | (j < 1) | (i > _col(a.height)) | (j > _col(a.width)), "#REF!"))
+        return _guard(a.at((i - 1) * _col(a.width) + j - 1), err)
     if a.shape[0] == 1 and len(args) == 2:
         i, j, e, f = F.lit(1.0), *to_number(c.value(args[1], env))[:1], None, to_number(c.value(args[1], env))[1]
     else:
@@ -785,34 +933,72 @@ def _index(c, args, env):
     return _pick(a.cells(), (i - 1) * a.shape[1] + j, None, err)
 
 
-def _position(c, needle: Val, cells: list[Val], kind: int, last: bool = False) -> tuple[Column, Column | None]:
-    """1-based place of a value among cells; 0 if absent. kind 0: equal (with wild cards), 1 and -1: the floor-midpoint
-    search of sorted cells, of which the answer on unsorted ones is part."""
+def _position(c, needle: Val, cells: list[Val] | Grid, kind: int, last: bool = False, wild: bool = False) -> tuple[Column, Column | None]:
+    """1-based place of a value among cells; 0 if absent. kind 0: equal (wild: texts may be patterns), 1 and -1: the
+    search of sorted cells."""
+    if isinstance(cells, Grid):
+        return _place_in(needle, cells, kind, last, wild)
     if kind:
         cmp = [_order(v, needle) for v in cells]
         places = F.array(*[F.coalesce(x, F.lit(9)) for x in cmp])
-        # the first probe that is equal ends the search, else it settles on the last probe that didn't lie beyond
-        state = F.struct(F.lit(0).alias("lo"), F.lit(len(cells) - 1).alias("hi"), F.lit(-1).alias("hit"))
-
-        def step(acc, _):
-            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-            side = F.get(places, mid) * kind
-            busy = (acc["lo"] <= acc["hi"]) & (acc["hit"] < 0)
-            return F.struct(F.when(busy & (side < 0), mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(busy & (side > 0), mid - 1).otherwise(acc["hi"]).alias("hi"), F.when(busy & (side == 0), mid).otherwise(acc["hit"]).alias("hit"))
-
-        steps = F.sequence(F.lit(1), F.lit(max(1, len(cells).bit_length() + 1)))
-        return F.aggregate(steps, state, step, lambda acc: F.when(acc["hit"] >= 0, acc["hit"]).otherwise(acc["hi"]) + 1), needle.err
-    hits = []
-    for i, v in enumerate(cells):
-        same = F.coalesce(_order(v, needle) == 0, F.lit(False))
-        if needle.s is not None and v.s is not None and not last:
-            pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(needle.s, r"([\\^$.|+()\[\]{}])", r"\\$1"), r"\*", ".*"), r"\?", ".")
-            same = same | F.coalesce(needle.s.rlike(r"[*?]") & F.rlike(v.s, F.concat(F.lit("(?is)^"), pattern, F.lit("$"))), F.lit(False))
-        hits.append(F.when(same, F.lit(i + 1)))
+        return _halving(places, kind, F.lit(len(cells)), max(1, len(cells).bit_length() + 1)), needle.err
+    hits = [F.when(_equal(v, needle, wild), F.lit(i + 1)) for i, v in enumerate(cells)]
     order = hits[::-1] if last else hits
     return F.coalesce(*order, F.lit(0)), needle.err
 
 
+def _guard(v: Val, err: Column | None) -> Val:
+    """v, or an error that comes before it."""
+    if err is None:
+        return v
+    fix = lambda c: None if c is None else F.when(err.isNull(), c)
+    return Val(fix(v.n), fix(v.s), fix(v.b), first_error(err, v.err), v.blank)
+
+
+def _place_in(needle: Val, keys: Grid, kind: int, last: bool = False, wild: bool = False) -> tuple[Column, Column | None]:
+    """_position() among the cells of a grid."""
+    if kind:
+        sides = keys.each(lambda v: F.coalesce(_order(v, needle), F.lit(9)))
+        return bind(lambda places: _halving(places, kind, F.size(places), 21), sides), needle.err
+    hits = keys.each(lambda v: _equal(v, needle, wild))
+    if last:
+        n = F.size(hits)
+        at = F.array_position(F.reverse(hits), True)
+        return F.when(at > 0, n - at + 1).otherwise(0), needle.err
+    return F.coalesce(F.array_position(hits, True), F.lit(0)).cast("int"), needle.err
+
+
+def _halving(places: Column, kind: int, size: Column, steps: int) -> Column:
+    """The floor-midpoint search of sorted cells, of which the answer on unsorted ones is part. places: how each cell
+    compares; the first probe that is equal ends the search, else it settles on the last one that didn't lie beyond."""
+    state = F.struct(F.lit(0).alias("lo"), (size - 1).cast("int").alias("hi"), F.lit(-1).alias("hit"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        side = F.get(places, mid) * kind
+        busy = (acc["lo"] <= acc["hi"]) & (acc["hit"] < 0)
+        return F.struct(F.when(busy & (side < 0), mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(busy & (side > 0), mid - 1).otherwise(acc["hi"]).alias("hi"), F.when(busy & (side == 0), mid).otherwise(acc["hit"]).alias("hit"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step, lambda acc: F.when(acc["hit"] >= 0, acc["hit"]).otherwise(acc["hi"]) + 1)
+
+
+def _equal(v: Val, needle: Val, wild: bool) -> Column:
+    """Is a cell equal to what is sought; wild: texts with * and ? (~ before one stands for itself) are patterns."""
+    same = F.coalesce(_order(v, needle) == 0, F.lit(False))
+    if wild and needle.s is not None and v.s is not None:
+        found = F.rlike(v.s, F.concat(F.lit("(?is)^"), wildcard_of(needle.s), F.lit("$")))
+        same = F.when(needle.s.rlike(r"[*?~]"), F.coalesce(found, F.lit(False))).otherwise(same)
+    return same
+
+
+def wildcard_of(s: Column) -> Column:
+    """The pattern that a text with wild cards stands for."""
+    held = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"~\*", "\x01"), r"~\?", "\x02"), "~~", "\x03")
+    quoted = F.regexp_replace(held, r"([\\^$.|+()\[\]{}])", r"\\$1")
+    wild = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", ".")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(wild, "\x01", r"\\*"), "\x02", r"\\?"), "\x03", "~")
+
+
 def _order(v: Val, other: Val) -> Column:
     """-1, 0, 1 of two values of one kind, else null. Blank cells match nothing."""
     parts = []
@@ -844,10 +1030,13 @@ def _pick(cells: list[Val], at: Column, missing: Val | None, err: Column | None)
 
 @tree("MATCH", 2, 3)
 def _match(c, args, env):
-    a, kind = _array(c, args[1], env), int(_constant(c, _at(args, 2), env, 1))
-    if min(a.shape) > 1:
+    a, kind = _array(c, args[1], env, True), int(_constant(c, _at(args, 2), env, 1))
+    flat = isinstance(a, Grid)
+    if not flat and min(a.shape) > 1:
         return error("#UNSUPPORTED!")
-    at, e = _position(c, c.value(args[0], env), a.cells(), (kind > 0) - (kind < 0))
+    at, e = _position(c, c.value(args[0], env), a if flat else a.cells(), (kind > 0) - (kind < 0), wild=True)
+    if flat:
+        e = first_error(bad((_col(a.height) > 1) & (_col(a.width) > 1), "#UNSUPPORTED!"), e)
     return num(at.cast("double"), first_error(e, bad(at == 0, "#N/A")), False)
 
 
@@ -856,18 +1045,27 @@ def _xmatch(c, args, env):
     mode, way = int(_constant(c, _at(args, 2), env, 0)), int(_constant(c, _at(args, 3), env, 1))
     if mode or way not in (1, -1):
         return error("#UNSUPPORTED!")
-    at, e = _position(c, c.value(args[0], env), _array(c, args[1], env).cells(), 0, way == -1)
+    a = _array(c, args[1], env, True)
+    at, e = _position(c, c.value(args[0], env), a if isinstance(a, Grid) else a.cells(), 0, way == -1)
     return num(at.cast("double"), first_error(e, bad(at == 0, "#N/A")), False)
 
 
 def _table_lookup(name, flip):
     def call(c, args, env):
-        a = _array(c, args[1], env)
+        a = _array(c, args[1], env, True)
+        if isinstance(a, Grid):
+            k, ke = to_number(c.value(args[2], env))
+            k, (h, w) = trunc(k), (_col(a.height), _col(a.width))
+            near = bool(_constant(c, _at(args, 3), env, 1))
+            keys = F.slice(a.cells, F.lit(1), w.cast("int")) if flip else F.filter(a.cells, lambda _, i: i % w == 0)
+            at, e = _position(c, c.value(args[0], env), Grid(keys, h, 1, a.lanes), 1 if near else 0, wild=True)
+            err = first_error(e, ke, bad(k < 1, "#VALUE!"), bad(k > (h if flip else w), "#REF!"), bad(at == 0, "#N/A"))
+            return _guard(a.at(((k - 1) * w + at - 1) if flip else ((at - 1) * w + k - 1)), err)
         rows = [list(r) for r in zip(*a.rows, strict=True)] if flip else a.rows
         k, ke = to_number(c.value(args[2], env))
         k = trunc(k)
         near = bool(_constant(c, _at(args, 3), env, 1))
-        at, e = _position(c, c.value(args[0], env), [r[0] for r in rows], 1 if near else 0)
+        at, e = _position(c, c.value(args[0], env), [r[0] for r in rows], 1 if near else 0, wild=True)
         err = first_error(e, ke, bad(k < 1, "#VALUE!"), bad(k > len(rows[0]), "#REF!"), bad(at == 0, "#N/A"))
         return _pick([v for r in rows for v in r], (at - 1) * len(rows[0]) + k, None, err)
 
@@ -880,7 +1078,17 @@ _table_lookup("HLOOKUP", True)
 
 @tree("LOOKUP", 2, 3)
 def _lookup(c, args, env):
-    a = _array(c, args[1], env)
+    a = _array(c, args[1], env, True)
+    back = _array(c, args[2], env, True) if len(args) > 2 else None
+    if isinstance(a, Grid) or isinstance(back, Grid):
+        a = grid_of(a)
+        h, w = _col(a.height), _col(a.width)
+        if back is None:
+            wide = w > h
+            keys = F.when(wide, F.slice(a.cells, F.lit(1), w.cast("int"))).otherwise(F.filter(a.cells, lambda _, i: i % w == 0))
+        at, e = _position(c, c.value(args[0], env), Grid(keys, h, w, a.lanes) if back is None else a, 1)
+        e = first_error(e, bad(at == 0, "#N/A"))
+        return _guard(grid_of(back).at(at - 1) if back is not None else a.at(F.when(wide, (h - 1) * w + at - 1).otherwise(at * w - 1)), e)
     if len(args) > 2:
         keys, out = a.cells(), _array(c, args[2], env).cells()
     elif a.shape[1] > a.shape[0]:
@@ -896,9 +1104,13 @@ def _xlookup(c, args, env):
     mode, way = int(_constant(c, _at(args, 4), env, 0)), int(_constant(c, _at(args, 5), env, 1))
     if mode or way not in (1, -1):
         return error("#UNSUPPORTED!")
-    at, e = _position(c, c.value(args[0], env), _array(c, args[1], env).cells(), 0, way == -1)
+    a, back = _array(c, args[1], env, True), _array(c, args[2], env, True)
+    flat = isinstance(a, Grid) or isinstance(back, Grid)
+    at, e = _position(c, c.value(args[0], env), grid_of(a) if flat else a.cells(), 0, way == -1)
     missing = c.value(args[3], env) if len(args) > 3 and args[3][0] != "omit" else error("#N/A")
-    return _pick(_array(c, args[2], env).cells(), at, missing, e)
+    if flat:
+        return choose([(at == 0, missing)], grid_of(back).at(at - 1), e)
+    return _pick(back.cells(), at, missing, e)
 
 
 # -- shapes and places -----------------------------------------------------------------------------------------------------
@@ -912,6 +1124,9 @@ def _size(name, axis):
         got = c.compile(args[0], env)
         if isinstance(got, Rng):
             return num(c.reduce(got.table, F.count(F.lit(1))).cast("double"), None, False) if axis == 0 else lit(1)
+        if isinstance(got, Grid):
+            size = got.full[axis] if got.full else (got.height, got.width)[axis]
+            return num(_col(size).cast("double"), None, False)
         return lit(got.shape[axis] if isinstance(got, Arr) else 1)
 
     tree(name, 1, 1)(call)
@@ -1025,12 +1240,146 @@ def _makearray(c, args, env):
     return _made([[c.scalar(c.apply(fn, [lit(i + 1), lit(j + 1)])) for j in range(w)] for i in range(h)])
 
 
-def _by_operator(name, where):
-    tree(name, 1)(lambda c, a, env: (_ for _ in ()).throw(Unsupported(f"{name} makes rows: see operators.{where}")))
+# -- arrays whose size depends on data -----------------------------------------------------------------------------------------
+
 
+def _sized(cells: Column, height, width, err: Column | None, lanes: str = "nsbe") -> Grid:
+    """A grid, or an error in its place."""
+    if err is None:
+        return Grid(cells, height, width, lanes)
+    wrong = F.array(F.struct(*[F.lit(None).cast(t).alias(k) for k, t in (("n", "double"), ("s", "string"), ("b", "boolean"))], err.alias("err")))
+    one = lambda x: F.when(err.isNotNull(), 1).otherwise(_col(x))
+    return Grid(F.when(err.isNotNull(), wrong).otherwise(cells), one(height), one(width))
 
-for _name in ("FILTER", "SORT", "SORTBY", "UNIQUE"):
-    _by_operator(_name, "arrays")
-_by_operator("OFFSET", "ordered")
+
+def _lines(g: Grid) -> Column:
+    """The rows of a grid, as arrays."""
+    h, w = _col(g.height).cast("int"), _col(g.width).cast("int")
+    plain = F.transform(g.cells, lambda x: F.struct(*[x[k].alias(k) for k in ("n", "s", "b", "err")]))
+    blank = F.struct(*[F.lit(None).cast(t).alias(k) for k, t in (("n", "double"), ("s", "string"), ("b", "boolean"), ("err", "string"))])
+    whole = bind(lambda cells, h, w: F.concat(cells, F.array_repeat(blank, F.greatest(h * w - F.size(cells), F.lit(0)))), plain, h, w)
+    return bind(lambda cells, h, w: F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.slice(cells, i * w + 1, w)), whole, h, w)
+
+
+def _turned(g: Grid) -> Grid:
+    """Rows and columns exchanged."""
+    h, w = _col(g.height).cast("int"), _col(g.width).cast("int")
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), w - 1), lambda j: F.transform(_lines(g), lambda r: F.get(r, j))))
+    return Grid(cells, w, h, g.lanes)
+
+
+def _key_of(v: Val) -> Column:
+    """What a cell sorts by: numbers before texts before logicals, blanks last."""
+    n, s, b = (getattr(v, k) if getattr(v, k) is not None else F.lit(None).cast(t) for k, t in (("n", "double"), ("s", "string"), ("b", "boolean")))
+    return F.struct(F.when(n.isNotNull(), 0).when(s.isNotNull(), 1).when(b.isNotNull(), 2).otherwise(9).alias("k"), n.alias("n"), F.lower(s).alias("s"), b.alias("b"))
+
+
+def _arranged(lines: Column, keys: list[tuple[Column, Column]]) -> Column:
+    """Lines in the order of the keys (an array and 1 or -1 each); ties stay as they are."""
+    fields = [F.transform(k, lambda x, i: x) for k, _ in keys]
+    zipped = F.arrays_zip(lines.alias("line"), F.transform(lines, lambda _, i: i).alias("at"), *[f.alias(f"k{i}") for i, f in enumerate(fields)])
+
+    def before(x, y):
+        out = None
+        for i, (_, way) in enumerate(keys):
+            a, b = x[f"k{i}"], y[f"k{i}"]
+            gone = (a["k"] == 9) != (b["k"] == 9)
+            side = F.when(gone, F.when(a["k"] == 9, 1).otherwise(-1)).when(a == b, 0).when(a < b, -way).otherwise(way)
+            side = F.when(a.eqNullSafe(b), 0).otherwise(side)
+            out = side if out is None else F.when(out != 0, out).otherwise(side)
+        return F.when(out != 0, out).when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0).cast("int")
+
+    return F.transform(F.array_sort(zipped, before), lambda x: x["line"])
+
+
+def _way(c, node, env) -> tuple[Column, Column | None]:
+    """1 or -1; any other order is #VALUE!."""
+    if node is None or node[0] == "omit":
+        return F.lit(1), None
+    x, e = to_number(c.value(node, env))
+    return F.when(x < 0, -1).otherwise(1), first_error(e, bad((x != 1) & (x != -1), "#VALUE!"))
+
+
+def _grid(c, node, env) -> Grid:
+    got = c.compile(node, env)
+    if isinstance(got, Rng):
+        raise Unsupported("rows of a table: see operators.arrays")
+    return grid_of(got)
+
+
+def _flag(c, node, env) -> bool:
+    return bool(_constant(c, node, env, 0))
+
+
+@tree("FILTER", 2, 3)
+def _filter(c, args, env):
+    g, hit = _grid(c, args[0], env), _grid(c, args[1], env)
+    err = _first(hit.each(lambda v: to_bool(v)[1] if to_bool(v)[1] is not None else F.lit(None).cast("string")))
+    hits = hit.each(lambda v: to_bool(v)[0])
+    down = (_col(hit.width) == 1) & (_col(hit.height) == _col(g.height))
+    across = (_col(hit.height) == 1) & (_col(hit.width) == _col(g.width))
+    n = bind(lambda hits: F.size(F.filter(hits, lambda x: x)), hits)
+    cells = bind(lambda lines, hits, down: F.when(down, F.flatten(F.filter(lines, lambda _, i: F.get(hits, i)))).otherwise(F.flatten(F.transform(lines, lambda r: F.filter(r, lambda _, j: F.get(hits, j))))), _lines(g), hits, down)
+    height, width = F.when(down, n).otherwise(_col(g.height)), F.when(down, _col(g.width)).otherwise(n)
+    err = first_error(err, bad(~(down | across), "#VALUE!"))
+    if len(args) > 2 and args[2][0] != "omit":
+        none = packed(c.value(args[2], env))
+        cells = F.when(n == 0, F.array(none)).otherwise(cells)
+        height, width = F.when(n == 0, 1).otherwise(height), F.when(n == 0, 1).otherwise(width)
+    else:
+        err = first_error(err, bad(n == 0, "#CALC!"))
+    return _sized(cells, height, width, err)
+
+
+@tree("SORT", 1, 4)
+def _sort(c, args, env):
+    g = _grid(c, args[0], env)
+    flip = _flag(c, _at(args, 3), env)
+    g = _turned(g) if flip else g
+    k, ke = to_number(c.value(args[1], env)) if len(args) > 1 and args[1][0] != "omit" else (F.lit(1.0), None)
+    k = trunc(k).cast("int")
+    way, we = _way(c, _at(args, 2), env)
+    lines = _lines(g)
+    cell = lambda r: g.val(F.get(r, k - 1))
+    err = first_error(ke, we, bad((k < 1) | (k > _col(g.width)), "#VALUE!"), _first(F.transform(lines, lambda r: F.get(r, k - 1)["err"])) if "e" in g.lanes else None)
+    out = Grid(F.flatten(_arranged(lines, [(F.transform(lines, lambda r: _key_of(cell(r))), way)])), g.height, g.width, g.lanes)
+    out = _turned(out) if flip else out
+    return _sized(out.cells, out.height, out.width, err, g.lanes)
+
+
+@tree("SORTBY", 2)
+def _sortby(c, args, env):
+    g, keys, errs = _grid(c, args[0], env), [], []
+    i = 1
+    while i < len(args):
+        by = _grid(c, args[i], env)
+        way, e = _way(c, _at(args, i + 1), env)
+        errs += [e, bad((_col(by.width) != 1) | (_col(by.height) != _col(g.height)), "#VALUE!"), _first(by.each(lambda v: v.err)) if "e" in by.lanes else None]
+        keys.append((by.each(_key_of), way))
+        i += 2
+    across = isinstance(g.height, int) and g.height == 1
+    if across:
+        raise Unsupported("SORTBY over columns")
+    return _sized(F.flatten(_arranged(_lines(g), keys)), g.height, g.width, first_error(*errs), g.lanes)
+
+
+@tree("UNIQUE", 1, 3)
+def _unique(c, args, env):
+    """Different rows in the order of their first places. Texts that differ in case only, and a blank beside 0 or "",
+    leave open which one stands for both: refused."""
+    g = _grid(c, args[0], env)
+    flip, once = _flag(c, _at(args, 1), env), _flag(c, _at(args, 2), env)
+    g = _turned(g) if flip else g
+    folded = lambda r: F.transform(r, lambda x: F.struct(F.coalesce(x["n"], F.when(x["s"].isNull() & x["b"].isNull() & x["err"].isNull(), 0.0)).alias("n"), F.lower(F.when(x["s"] != "", x["s"])).alias("s"), x["b"].alias("b"), x["err"].alias("err")))
+    lines = _lines(g)
+    clash = bind(lambda lines: F.size(F.array_distinct(lines)) != F.size(F.array_distinct(F.transform(lines, folded))), lines)
+    kept = bind(lambda lines: F.filter(F.array_distinct(lines), lambda r: F.size(F.filter(lines, lambda q: q == r)) == 1), lines) if once else F.array_distinct(lines)
+    n = bind(F.size, kept)
+    out = Grid(F.flatten(kept), n, g.width, g.lanes)
+    out = _turned(out) if flip else out
+    return _sized(out.cells, out.height, out.width, first_error(bad(clash, "#UNSUPPORTED!"), bad(n == 0, "#CALC!")), g.lanes)
+
+
+tree("OFFSET", 3, 5)(lambda c, a, env: error("#UNSUPPORTED!"))
 tree("INDIRECT", 1, 2)(lambda c, a, env: c.compile(__import__("sheetwise.plans.parser", fromlist=["parse"]).parse(a[0][1]), env) if a[0][0] == "str" else error("#UNSUPPORTED!"))
 __all__ = ["FUNCTIONS", "date_of", "whole"]

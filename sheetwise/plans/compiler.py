@@ -34,6 +34,58 @@ class Arr:
         return [v for r in self.rows for v in r]
 
 
+@dataclass(frozen=True)
+class Area(Arr):
+    """A rectangle of a sheet's cells, by its reference."""
+
+    need: object = None
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A rectangle of values whose size is known when it runs: an array of structs with the lanes, row by row. lanes: of
+    n, s, b, e (errors) those that may hold something; cells may be blank. blank cells at the end may be left out of
+    `cells`, so the height is a number of its own."""
+
+    cells: Column
+    height: Column | int
+    width: Column | int
+    lanes: str = "nsbe"
+    flagged: bool = False  # have the structs h (a hidden row) and t (a subtotal), too
+    full: tuple | None = None  # rows and columns of an area that goes on beyond what is used
+    need: object = None  # the reference that it comes from
+
+    def val(self, x: Column) -> Val:
+        """One of the cells."""
+        return Val(*[x[k] if k in self.lanes else None for k in "nsb"], x["err"] if "e" in self.lanes else None, True)
+
+    def each(self, fn: Callable[[Val], Column]) -> Column:
+        return F.transform(self.cells, lambda x: fn(self.val(x)))
+
+    def at(self, i: Column) -> Val:
+        """The i-th cell, from 0; blank beyond the last."""
+        return self.val(F.get(self.cells, i.cast("int")))
+
+
+LANES = "struct<n:double,s:string,b:boolean,err:string>"
+
+
+def packed(v: Val) -> Column:
+    """A value as a struct of its lanes."""
+    none = {"n": "double", "s": "string", "b": "boolean", "err": "string"}
+    return F.struct(*[(getattr(v, k) if getattr(v, k) is not None else F.lit(None).cast(t)).cast(t).alias(k) for k, t in none.items()])
+
+
+def grid_of(x) -> Grid:
+    """A rectangle of known size as a Grid."""
+    if isinstance(x, Grid):
+        return x
+    rows = x.rows if isinstance(x, Arr) else [[x]]
+    flat = [v for r in rows for v in r]
+    lanes = "".join(k for k in "nsb" if any(getattr(v, k) is not None for v in flat)) + ("e" if any(v.err is not None for v in flat) else "")
+    return Grid(F.array(*[packed(v) for v in flat]), len(rows), len(rows[0]), lanes)
+
+
 @dataclass(frozen=True)
 class Rng:
     """A whole column (or an expression of columns) of a table; table None is the compiled one."""
@@ -55,6 +107,7 @@ class Compiler:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     names: dict[str, str] = field(default_factory=dict)
     ranges: bool = False  # are names of the own table ranges
+    anchored: bool = False  # are areas parts of a sheet
     #: Reductions of other tables: (table, column) in order; their results are joined as one row.
     reduced: list[tuple[str, Column]] = field(default_factory=list)
 
@@ -76,6 +129,8 @@ class Compiler:
             return x.rows[0][0]  # implicit intersection of a computed array
         if isinstance(x, Lambda):
             return error("#CALC!")
+        if isinstance(x, Grid):
+            return x.at(F.lit(0))
         if x.table is None and not self.ranges:
             return x.val
         raise Unsupported("a range where one value is wanted")
@@ -140,7 +195,7 @@ class Compiler:
         if not low <= len(args) <= (high or 10**6):
             return error("#VALUE!")
         if how == "tree":
-            return fn(self, args, env)
+            return self.keep(fn(self, args, env))
         return self.lift(fn, [self.compile(a, env) for a in args])
 
     def _apply(self, node, env):
@@ -154,6 +209,11 @@ class Compiler:
             return error("#VALUE!")
         return self.compile(fn.body, fn.env | dict(zip(fn.names, args, strict=True)))
 
+    def keep(self, x):
+        """A step's result, as later steps should see it: a compiler that has columns of its own for steps puts it there,
+        as an expression would otherwise hold those that it is made of many times over."""
+        return x
+
     def lift(self, fn: Callable[..., Val], args: list):
         """A function of single values over arrays and ranges."""
         ranges = [a for a in args if isinstance(a, Rng)]
@@ -162,10 +222,12 @@ class Compiler:
             if len(tables) > 1 or any(isinstance(a, Arr) for a in args):
                 raise Unsupported("ranges of different tables side by side")
             return Rng(fn(*[a.val if isinstance(a, Rng) else a for a in args]), tables.pop())
+        if any(isinstance(a, Grid) for a in args):
+            return self.lift_grids(fn, args)
         arrays = [a for a in args if isinstance(a, Arr)]
         args = [a if isinstance(a, Arr) else self.scalar(a) for a in args]
         if not arrays:
-            return fn(*args)
+            return self.keep(fn(*args))
         height, width = (max(a.shape[i] for a in arrays) for i in (0, 1))
         if any(s not in (1, m) for a in arrays for s, m in zip(a.shape, (height, width), strict=True)):
             if not all(a.shape[1] == 1 for a in arrays):
@@ -181,6 +243,27 @@ class Compiler:
 
         return Arr([[fn(*[cell(a, i, j) for a in args]) for j in range(width)] for i in range(height)])
 
+    def lift_grids(self, fn: Callable[..., Val], args: list):
+        """fn over grids of one shape and single values."""
+        args = [grid_of(a) if isinstance(a, Arr) and a.shape != (1, 1) else a if isinstance(a, Grid) else self.scalar(a) for a in args]
+        grids = [a for a in args if isinstance(a, Grid)]
+        first = grids[0]
+        as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+        if len(grids) == 1:
+            one = lambda x: packed(fn(*[first.val(x) if a is first else a for a in args]))
+            return self.keep(Grid(F.transform(first.cells, one), first.height, first.width))
+        differ = F.lit(False)
+        for g in grids[1:]:
+            differ = differ | (as_col(g.height) != as_col(first.height)) | (as_col(g.width) != as_col(first.width))
+        zipped = F.arrays_zip(*[g.cells.alias(f"g{i}") for i, g in enumerate(grids)])
+
+        def one(x):
+            vals = iter(grids[i].val(x[f"g{i}"]) for i in range(len(grids)))
+            v = fn(*[next(vals) if isinstance(a, Grid) else a for a in args])
+            return F.when(differ, packed(error("#UNSUPPORTED!"))).otherwise(packed(v))
+
+        return self.keep(Grid(F.transform(zipped, one), first.height, first.width))
+
     # -- ranges of other tables
 
     def reduce(self, table: str | None, col: Column) -> Column:
@@ -226,4 +309,4 @@ def power(x: Column, y: Column, err: Column | None) -> Val:
     return num(F.when((x < 0) & odd, -F.pow(-x, y)).otherwise(F.pow(x, y)), first_error(err, bad))
 
 
-__all__ = ["GENUINE", "SENTINELS", "Arr", "Compiler", "Lambda", "Rng", "binary", "choose", "guarded"]
+__all__ = ["GENUINE", "LANES", "SENTINELS", "Arr", "Compiler", "Grid", "Lambda", "Rng", "binary", "choose", "grid_of", "guarded", "packed"]

@@ -93,7 +93,7 @@ class _Parser:
         if kind == "column":
             return ("name", None, text)
         if kind == "op" and text in "+-@":
-            return ("un", text, self.expression(_SIGN if text != "@" else 92))
+            return ("un", text, self.expression(_SIGN if text != "@" else 85))
         if kind == "op" and text == "(":
             inner = self.expression()
             self.take(")")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import Val, error_of, result
-from .plans.compiler import Arr, Compiler
+from .plans.compiler import Arr, Compiler, Grid, grid_of, packed
 from .plans.parser import parse
 
 
-def _named(formulas: dict[str, str], vals: dict[str, Val], errors: bool) -> list[Column]:
+def _named(formulas: dict[str, str], vals: dict[str, Val], errors: bool, typed: bool) -> list[Column]:
     out = []
     for name in formulas:
-        out.append(result(vals[name]).alias(name))
+        out.append((packed(vals[name]) if typed else result(vals[name])).alias(name))
         if errors:
             out.append(error_of(vals[name]).alias(f"{name}_error"))
     return out
@@ -25,29 +25,32 @@ class Table:
     def __init__(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, names: dict[str, str] | None = None):
         self.df, self.tables, self.names = df, tables or {}, names or {}
 
-    def select(self, *keep: str, errors: bool = False, **formulas: str) -> DataFrame:
-        """The columns `keep` and a column for each formula, row by row. With errors, <name>_error beside each."""
+    def select(self, *keep: str, errors: bool = False, typed: bool = False, **formulas: str) -> DataFrame:
+        """The columns `keep` and a column for each formula, row by row. With errors, <name>_error beside each. A formula
+        whose values are of several kinds gives them as text; with typed, each column is a struct with a field for each
+        kind (n, s, b, err), of which one at most is set."""
         c = Compiler(self.df, self.tables, self.names)
         vals = {k: c.formula(f) for k, f in formulas.items()}
-        return c.joined(self.df).select(*keep, *_named(formulas, vals, errors))
+        return c.joined(self.df).select(*keep, *_named(formulas, vals, errors, typed))
 
-    def summarise(self, by: list[str] | None = None, errors: bool = False, **formulas: str) -> DataFrame:
+    def summarise(self, by: list[str] | None = None, errors: bool = False, typed: bool = False, **formulas: str) -> DataFrame:
         """One row per group: all formulas in one aggregation."""
         c = Compiler(self.df, self.tables, self.names, ranges=True)
         vals = {k: c.formula(f) for k, f in formulas.items()}
         if c.reduced:
             raise NotImplementedError("ranges of other tables in a summary")
-        return self.df.groupBy(*(by or [])).agg(*_named(formulas, vals, errors))
+        return self.df.groupBy(*(by or [])).agg(*_named(formulas, vals, errors, typed))
 
 
 def evaluate(spark: SparkSession, formula: str, names: dict[str, str] | None = None):
     """A formula's value in Python: a number, text, logical, error text, None for blank; an array as rows."""
     c = Compiler(names=names or {})
     got = c.compile(parse(formula), {})
-    cells = got.rows if isinstance(got, Arr) else [[c.scalar(got)]]
-    cols = [F.struct(result(v).alias("v"), error_of(v).alias("e")).alias(f"c{i}_{j}") for i, r in enumerate(cells) for j, v in enumerate(r)]
-    row = spark.range(1).select(*cols).first()
-    flat = [x["e"] if x["e"] is not None else x["v"] for x in row]
-    w = len(cells[0])
-    rows = [flat[i : i + w] for i in range(0, len(flat), w)]
-    return rows if isinstance(got, Arr) else rows[0][0]
+    whole = isinstance(got, (Arr, Grid))
+    g = grid_of(got if whole else c.scalar(got))
+    size = lambda x: x if isinstance(x, Column) else F.lit(x)
+    row = spark.range(1).select(F.transform(g.cells, lambda x: F.struct(*[x[k].alias(k) for k in ("n", "s", "b", "err")])).alias("cells"), size(g.height).alias("h"), size(g.width).alias("w")).first()
+    flat = [next((x[k] for k in ("err", "n", "s", "b") if x[k] is not None), 0) for x in row.cells]
+    flat += [0] * (row.h * row.w - len(flat))
+    rows = [flat[i : i + row.w] for i in range(0, len(flat), row.w)]
+    return rows if whole else rows[0][0]
