@@ -31,7 +31,7 @@ PART_BYTES = 64 << 20
 
 def parts_for(df: DataFrame) -> int:
     """Partitions for a shuffle of df: as many as its session has, or more if the planner knows df to be large."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0  # a plan without statistics counts as endless
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
 
