@@ -87,9 +87,16 @@ class Cells:
                 continue
             if sentinels_only and how != "direct":
                 err = _sentinel(err)
-            out.append(self.c.reduce(table, F.min(err)) if how == "range" else err)
+            out.append(self.first(err, table) if how == "range" else err)
         return first_error(*out)
 
+    def first(self, err: Column, table: str | None) -> Column:
+        """The first error of a range, by the table's order column; without one, the least by name."""
+        df = self.c.df if table is None else self.c.tables[table]
+        if df is not None and ORDER in df.columns:
+            return self.c.reduce(table, F.min_by(err, F.when(err.isNotNull(), F.col(ORDER))))
+        return self.c.reduce(table, F.min(err))
+
     def numbers(self, logicals: bool = False, texts: bool = False) -> list[tuple[str, Column, str | None]]:
         """The numbers that count; null where a cell doesn't. logicals, texts: as AVERAGEA and its kin see cells."""
         out = []
@@ -663,10 +670,16 @@ def _holidays(c, args, env, at: int) -> tuple[Column, Column | None]:
 @tree("NETWORKDAYS", 2, 3)
 def _networkdays(c, args, env):
     (a, b), e = numbers(c.value(args[0], env), c.value(args[1], env))
-    a, b = F.floor(a).cast("double"), F.floor(b).cast("double")
     free, fe = _holidays(c, args, env, 2)
-    off = F.size(F.filter(free, lambda d: (d >= a) & (d <= b)))
-    return num(weekdays_between(a, b) - off, first_error(e, fe, bad(b < a, "#UNSUPPORTED!"), bad(a < 0)), False)
+
+    def days(a, b, *free):
+        """The working days, or -1 and -2 for what can't be counted."""
+        off = [F.size(F.filter(f, lambda d: (d >= a) & (d <= b))) for f in free]
+        n = reduce(lambda x, y: x - y, off, weekdays_between(a, b))
+        return F.when(b < a, -1.0).when(a < 0, -2.0).otherwise(n)
+
+    n = bind(days, F.floor(a).cast("double"), F.floor(b).cast("double"), *([free] if len(args) > 2 else []))
+    return num(n, first_error(e, fe, bad(n == -1, "#UNSUPPORTED!"), bad(n == -2)), False)
 
 
 @tree("WORKDAY", 2, 3)
@@ -1067,6 +1080,8 @@ def _table_lookup(name, flip):
         near = bool(_constant(c, _at(args, 3), env, 1))
         at, e = _position(c, c.value(args[0], env), [r[0] for r in rows], 1 if near else 0, wild=True)
         err = first_error(e, ke, bad(k < 1, "#VALUE!"), bad(k > len(rows[0]), "#REF!"), bad(at == 0, "#N/A"))
+        if args[2][0] == "num" and 1 <= int(args[2][1]) <= len(rows[0]):  # only that column's kinds can come out
+            return _pick([r[int(args[2][1]) - 1] for r in rows], at, None, err)
         return _pick([v for r in rows for v in r], (at - 1) * len(rows[0]) + k, None, err)
 
     tree(name, 3, 4)(call)
@@ -1249,7 +1264,7 @@ def _sized(cells: Column, height, width, err: Column | None, lanes: str = "nsbe"
         return Grid(cells, height, width, lanes)
     wrong = F.array(F.struct(*[F.lit(None).cast(t).alias(k) for k, t in (("n", "double"), ("s", "string"), ("b", "boolean"))], err.alias("err")))
     one = lambda x: F.when(err.isNotNull(), 1).otherwise(_col(x))
-    return Grid(F.when(err.isNotNull(), wrong).otherwise(cells), one(height), one(width))
+    return Grid(F.when(err.isNotNull(), wrong).otherwise(cells), one(height), one(width), lanes.replace("e", "") + "e")
 
 
 def _lines(g: Grid) -> Column:

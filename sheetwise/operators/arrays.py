@@ -17,15 +17,30 @@ def filter_rows(df: DataFrame, condition: str) -> DataFrame:
     return marked.filter(F.col("_keep").cast("boolean")).select(*df.columns)
 
 
-def sort(df: DataFrame, *keys: tuple[str, int]) -> DataFrame:
-    """SORT and SORTBY: by columns, each with 1 (ascending) or -1. Blank cells come last."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() if way >= 0 else F.col(c).desc_nulls_last() for c, way in keys])
+def _folded(df: DataFrame, column: str) -> Column:
+    return F.lower(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+
+
+def sort(df: DataFrame, *keys: tuple[str, int], order: str | None = None, place: str | None = None) -> DataFrame:
+    """SORT and SORTBY: by columns, each with 1 (ascending) or -1. Texts sort without case, blank cells come last, ties
+    keep the order of the column `order`. place: a column with each row's place, from 0."""
+    sides = [_folded(df, c).asc_nulls_last() if way >= 0 else _folded(df, c).desc_nulls_last() for c, way in keys]
+    sides += [F.col(order).asc()] if order else []
+    return positions(df, *sides, name=place) if place else df.orderBy(*sides)
 
 
 def unique(df: DataFrame, columns: list[str], order: str | None = None, exactly_once: bool = False) -> DataFrame:
-    """UNIQUE: different rows of the columns, with the place of the first (`order`) if asked; or those that occur once."""
-    seen = df.groupBy(*columns).agg(F.count("*").alias("_n"), *([F.min(order).alias(order)] if order else []))
-    return (seen.filter("_n = 1") if exactly_once else seen).drop("_n")
+    """UNIQUE: different rows of the columns, with the place of the first (`order`) if asked; or those that occur once.
+    Rows that differ in the case of texts only leave open which one stands for them: such a table is refused when it
+    is computed."""
+    texts = [c for c in columns if dict(df.dtypes)[c] == "string"]
+    row = F.struct(*columns)
+    keys = [_folded(df, c).alias(c) for c in columns]
+    seen = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(row).alias("_lo"), F.max(row).alias("_hi"), *([F.min(order).alias(order)] if order else []))
+    clash = F.col("_lo") != F.col("_hi")
+    out = seen.filter("_n = 1") if exactly_once else seen
+    got = lambda c: F.when(clash, F.raise_error(F.lit("#UNSUPPORTED! rows differ in case only")).cast("string")).otherwise(F.col(f"_lo.{c}")) if texts and c in texts else F.col(f"_lo.{c}")
+    return out.select(*[got(c).alias(c) for c in columns], *([order] if order else []))
 
 
 def take(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -55,16 +70,25 @@ def choose_rows(df: DataFrame, numbers: list[int], *order: Column) -> DataFrame:
     return placed.join(F.broadcast(wanted), "_pos").drop("_pos")  # the formula's own list
 
 
-def vstack(*dfs: DataFrame) -> DataFrame:
-    """VSTACK: rows after rows, by place of the column; short rows are padded with null."""
+def vstack(*dfs: DataFrame, errors: bool = False) -> DataFrame:
+    """VSTACK: rows after rows, by place of the column. Short rows are padded: null, and with errors #N/A in <name>_error."""
     width = max(len(d.columns) for d in dfs)
     named = [d.toDF(*[f"c{i + 1}" for i in range(len(d.columns))]) for d in dfs]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).select(*[f"c{i + 1}" for i in range(width)])
-
-
-def hstack(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column]) -> DataFrame:
-    """HSTACK: row beside row by place (_pos); the shorter side is padded with null."""
-    return positions(left, *left_order).join(positions(right, *right_order), "_pos", "full")
+    names = [f"c{i + 1}" for i in range(width)]
+    if errors:
+        named = [d.select("*", *[F.lit(None if c in d.columns else "#N/A").cast("string").alias(f"{c}_error") for c in names]) for d in named]
+        names += [f"{c}_error" for c in names]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).select(*names)
+
+
+def hstack(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column], errors: bool = False) -> DataFrame:
+    """HSTACK: row beside row by place (_pos). The shorter side is padded: null, and with errors #N/A in left_error or
+    right_error."""
+    a, b = (positions(d, *o).withColumn(k, F.lit(True)) for d, o, k in ((left, left_order, "_l"), (right, right_order, "_r")))
+    out = a.join(b, "_pos", "full")
+    if errors:
+        out = out.withColumns({n: F.when(F.col(k).isNull(), "#N/A") for n, k in (("left_error", "_l"), ("right_error", "_r"))})
+    return out.drop("_l", "_r")
 
 
 def expand(df: DataFrame, rows: int, pad: dict, *order: Column) -> DataFrame:

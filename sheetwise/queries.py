@@ -99,14 +99,14 @@ part("op_not_equal", "p_size<>10", "p_size<>10", False)
 part("op_less", "p_retailprice<1000", "p_retailprice<1000", False)
 part("op_less_equal", "p_size<=25", "p_size<=25", False)
 part("op_greater", "p_size>25", "p_size>25", False)
-part("op_greater_equal", "p_retailprice*3/3>=p_retailprice", "true", False)
-part("op_compare_kinds", "p_size<p_name", "true", False)
-part("op_fuzzy_equal", "p_size/10+0.2=(p_size+2)/10", "true", False)
+part("op_greater_equal", "p_retailprice>=900+p_size*5", "p_retailprice>=900+p_size*5", False)
+part("op_compare_kinds", "IF(p_size>25,p_size,p_name)<IF(MOD(p_size,2)=0,p_brand,TRUE)", "CASE WHEN p_size>25 OR p_size%2=1 THEN true ELSE lower(p_name)<lower(p_brand) END", False)
+part("op_fuzzy_equal", "p_size/10+0.2=IF(p_size>25,(p_size+2)/10,(p_size+2)/10+0.00000000001)", "p_size>25", False)
 part("op_negate", "-p_size^2", "pow(-p_size,2)")
 part("op_plus", "+p_size", "p_size")
 part("op_percent", "p_size%", "p_size/100.0")
 part("op_broadcast", "SUM({1,2}*p_size+{10;20})", "3*p_size*2+60")
-part("op_broadcast_pads", "COUNT(IFERROR({1;2;3}+{1;2},\"x\"))", "2")
+part("op_broadcast_pads", "SUM(IFERROR({1;2;3}*p_size+{1;2},100))", "3*p_size+103")
 part("op_intersect", "@p_size", "p_size")
 part("op_array", "SUM({1,2;3,4})+p_size", "10+p_size")
 part("op_let", "LET(x,p_size*2,y,x+1,x*y)", "(p_size*2)*(p_size*2+1)")
@@ -154,8 +154,8 @@ items("fn_count", "COUNT(l_quantity,l_linestatus)", "count(l_quantity)")
 items("fn_counta", "COUNTA(l_linestatus,l_quantity)", "2*count(*)")
 items("fn_min", "MIN(l_extendedprice)", "min(l_extendedprice)")
 items("fn_max", "MAX(l_extendedprice)", "max(l_extendedprice)")
-items("fn_mina", "MINA(l_quantity>49,l_tax+1)", "0")
-items("fn_maxa", "MAXA(l_quantity>49,l_tax)", "1")
+items("fn_mina", "MINA(l_quantity>5,l_tax+0.5)", "least(CASE WHEN bool_and(l_quantity>5) THEN 1 ELSE 0 END,min(l_tax)+0.5)", by=("l_orderkey",))
+items("fn_maxa", "MAXA(l_quantity>40,l_tax)", "greatest(CASE WHEN bool_or(l_quantity>40) THEN 1 ELSE 0 END,max(l_tax))", by=("l_orderkey",))
 items("fn_product", "PRODUCT(1+l_discount/10000)", "product(1+l_discount/10000)")
 items("fn_sumsq", "SUMSQ(l_quantity)", "sum(l_quantity*l_quantity)")
 items("fn_median", "MEDIAN(l_extendedprice)", "median(l_extendedprice)")
@@ -256,6 +256,33 @@ def _asof(t):
     return lookup.approximate(events, "at", days, "at", {"day": "o_orderdate"}).drop("at")
 
 
+@plan("fn_lookup_ties", "SELECT c_custkey, s.s_suppkey AS supplier, CASE WHEN s.s_suppkey IS NULL THEN '#N/A' END AS supplier_error FROM customer ASOF LEFT JOIN (SELECT floor(s_acctbal / 2000) AS k, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) s ON floor(c_acctbal / 2000) >= s.k")
+def _lookup_ties(t):
+    """Of equal keys the last, here by falling supplier."""
+    table = t("supplier").select(F.floor(F.col("s_acctbal") / 2000).alias("k"), "s_suppkey", (-F.col("s_suppkey")).alias("o"))
+    sought = t("customer").select("c_custkey", F.floor(F.col("c_acctbal") / 2000).alias("k"))
+    return lookup.approximate(sought, "k", table, "k", {"supplier": "s_suppkey"}, order="o", errors=True).drop("k")
+
+
+@plan("fn_lookup_text", "SELECT r_name, (SELECT max_by(n_name, lower(n_name)) FROM nation WHERE lower(n_name) <= lower(r_name)) AS upto, (SELECT min_by(n_name, lower(n_name)) FROM nation WHERE lower(n_name) >= lower(r_name)) AS since FROM region")
+def _lookup_text(t):
+    up = lookup.approximate(t("region").select("r_name"), "r_name", t("nation"), "n_name", {"upto": "n_name"}, order="n_nationkey")
+    return lookup.approximate(up, "r_name", t("nation"), "n_name", {"since": "n_name"}, descending=True, order="n_nationkey")
+
+
+@plan("fn_vlookup_missing", "SELECT o_orderkey, c_name AS name, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS name_error FROM orders LEFT JOIN customer ON o_custkey * 2 = c_custkey")
+def _vlookup_missing(t):
+    orders = t("orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
+    return lookup.exact(orders, "k", t("customer"), "c_custkey", {"name": "c_name"}, "c_custkey", errors=True).drop("k")
+
+
+@plan("fn_match_wild", "SELECT r_regionkey, CAST(min(p) AS DOUBLE) AS position, CASE WHEN min(p) IS NULL THEN '#N/A' END AS position_error FROM region LEFT JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) ON n_name ILIKE '%' || substr(r_name, 2, 1) || '_' GROUP BY 1")
+def _match_wild(t):
+    table = positions(t("nation").select("n_name", "n_nationkey"), F.col("n_nationkey"))
+    sought = t("region").select("r_regionkey", F.concat(F.lit("*"), F.substring("r_name", 2, 1), F.lit("?")).alias("k"))
+    return lookup.position(sought, "k", table, "n_name", "_pos", errors=True, wild=True).drop("k")
+
+
 @plan("fn_match", "SELECT o_orderkey, CAST(p AS DOUBLE) AS position FROM orders LEFT JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) ON o_custkey = c_custkey")
 def _match(t):
     table = positions(t("customer").select("c_custkey"), F.col("c_custkey"))
@@ -344,8 +371,15 @@ def _erf(x: str) -> str:
 part("fn_erfc", "ERFC(p_size/40)", f"1-{_erf('(p_size/40.0)')}")
 part("fn_normdist", "NORMDIST(p_size,25,20,TRUE)", f"0.5+0.5*{_erf('((p_size-25)/20.0/sqrt(2))')}")
 part("fn_norm_dist", "NORM.DIST(p_size,25,20,FALSE)", "exp(-pow((p_size-25)/20.0,2)/2)/(20*sqrt(2*pi()))")
-part("fn_normsinv", "NORMDIST(NORMSINV(p_size/60),0,1,TRUE)", "p_size/60.0")
-part("fn_norminv", "NORM.DIST(NORMINV(p_size/60,5,3),5,3,TRUE)", "p_size/60.0")
+
+
+def _probit(p: str) -> str:
+    """The quantile of the normal distribution by bisection of its distribution function, which is a series here."""
+    return f"list_reduce([-6.0]||[pow(0.5,k)*6 for k in range(0,40)], lambda z,w: CASE WHEN 0.5+0.5*sign(z+w)*({_erf('(abs(z+w)/sqrt(2))')}) < {p} THEN z+w ELSE z END)"
+
+
+part("fn_normsinv", "NORMSINV((p_size+9)/70)", _probit("((p_size+9)/70.0)"))
+part("fn_norminv", "NORMINV((p_size+9)/70,5,3)", f"5+3*{_probit('((p_size+9)/70.0)')}")
 
 # -- finance -------------------------------------------------------------------------------------------------------------
 
@@ -358,10 +392,12 @@ part("fn_ipmt", "IPMT(0.005,1,p_size,p_retailprice)", "-p_retailprice*0.005")
 part("fn_ppmt", "PPMT(0.005,1,p_size,p_retailprice)", f"-{_PMT}+p_retailprice*0.005")
 part("fn_sln", "SLN(p_retailprice,100,p_size)", "(p_retailprice-100)/p_size")
 part("fn_vdb", "VDB(p_retailprice,100,10,0,1.5)", "p_retailprice*0.2+p_retailprice*0.8*0.2*0.5")
+part("fn_vdb_switch", "VDB(p_retailprice,10,10,0,10)", "p_retailprice-10")
 part("fn_npv", "NPV(0.1,-1000,p_retailprice,p_size)", "-1000/1.1+p_retailprice/1.21+p_size/1.331")
-part("fn_irr", "IRR(HSTACK(-1000,p_retailprice))", "p_retailprice/1000-1")
-part("fn_xnpv", "XNPV(0.1,HSTACK(-1000,p_retailprice),{40000,40365})", "-1000+p_retailprice/1.1")
-part("fn_xirr", "XIRR(HSTACK(-1000,p_retailprice),{40000,40365})", "p_retailprice/1000-1")
+_ROOT = "(2*p_size/(sqrt(p_retailprice*p_retailprice+4000*p_size)-p_retailprice)-1)"  # -1000 + a x + b x^2 = 0 for x = 1 / (1 + r)
+part("fn_irr", "IRR(HSTACK(-1000,p_retailprice,p_size))", _ROOT)
+part("fn_xnpv", "XNPV(0.1,HSTACK(-1000,p_retailprice,p_size),{40000,40365,40465})", "-1000+p_retailprice/1.1+p_size/pow(1.1,465/365.0)")
+part("fn_xirr", "XIRR(HSTACK(-1000,p_retailprice,p_size),{40000,40365,40730})", _ROOT)
 
 
 @plan("fn_npv_range", f"SELECT o_custkey, {six('sum(o_totalprice/pow(1.1, n))')} AS v FROM (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1")
@@ -372,11 +408,11 @@ def _npv_range(t):
 # -- dates ---------------------------------------------------------------------------------------------------------------
 
 order("fn_date", "DATE(YEAR(o_orderdate),MONTH(o_orderdate)+14,1)", serial("date_trunc('month',o_orderdate)+INTERVAL 14 MONTH"))
-order("fn_datevalue", 'DATEVALUE(TEXT(o_orderdate,"yyyy-mm-dd"))', serial("o_orderdate"))
+order("fn_datevalue", 'DATEVALUE(1+MOD(o_orderkey,12)&"/"&1+MOD(o_custkey,28)&"/2011")', serial("make_date(2011,1+o_orderkey%12,1+o_custkey%28)"))
 order("fn_year", "YEAR(o_orderdate)", "year(o_orderdate)")
 order("fn_month", "MONTH(o_orderdate)", "month(o_orderdate)")
 order("fn_day", "DAY(o_orderdate)", "day(o_orderdate)")
-row("fn_hour", "events", "event_id", "HOUR(ts)", "CASE WHEN extract('microsecond' FROM ts)%1000000>=500000 AND second(ts)=59 AND minute(ts)=59 THEN hour(ts) ELSE hour(ts) END")
+row("fn_hour", "events", "event_id", "HOUR(ts)", "hour(ts)")
 order("fn_weekday", "WEEKDAY(o_orderdate,2)*10+WEEKDAY(o_orderdate)", "isodow(o_orderdate)*10+dayofweek(o_orderdate)+1")
 order("fn_edate", "EDATE(o_orderdate,3)", serial("o_orderdate+INTERVAL 3 MONTH"))
 order("fn_eomonth", "EOMONTH(o_orderdate,-1)", serial("last_day(o_orderdate-INTERVAL 1 MONTH)"))
@@ -386,6 +422,8 @@ order("fn_days360_european", "DAYS360(DATE(1994,1,15),o_orderdate,TRUE)", _THIRT
 order("fn_yearfrac", "YEARFRAC(DATE(1994,1,15),o_orderdate,3)", "date_diff('day',DATE '1994-01-15',CAST(o_orderdate AS DATE))/365.0")
 _SINCE = "date_diff('day',DATE '1994-01-03',CAST(o_orderdate AS DATE))"
 order("fn_networkdays", "NETWORKDAYS(DATE(1994,1,3),o_orderdate)", f"({_SINCE}//7)*5+least({_SINCE}%7+1,5)")
+order("fn_networkdays_holidays", "NETWORKDAYS(DATE(1994,1,3),o_orderdate,{35431,35796,35797,36161})", f"({_SINCE}//7)*5+least({_SINCE}%7+1,5)-(CASE WHEN o_orderdate>=DATE '1997-01-01' THEN 1 ELSE 0 END)-(CASE WHEN o_orderdate>=DATE '1998-01-01' THEN 1 ELSE 0 END)-(CASE WHEN o_orderdate>=DATE '1998-01-02' THEN 1 ELSE 0 END)-(CASE WHEN o_orderdate>=DATE '1999-01-01' THEN 1 ELSE 0 END)")
+order("fn_workday_back", "WORKDAY(o_orderdate,-5)", f"{serial('o_orderdate')}-CASE isodow(o_orderdate) WHEN 6 THEN 5 WHEN 7 THEN 6 ELSE 7 END")
 order("fn_workday", "WORKDAY(o_orderdate,10)", f"{serial('o_orderdate')}+CASE isodow(o_orderdate) WHEN 6 THEN 13 WHEN 7 THEN 12 ELSE 14 END")
 
 # -- text ----------------------------------------------------------------------------------------------------------------
@@ -420,14 +458,23 @@ def _filter(t):
     return arrays.filter_rows(t("part").select("p_partkey", "p_size", "p_brand"), 'AND(p_size>40,p_brand<>"Brand#11")').select("p_partkey", "p_size")
 
 
-@plan("fn_sort", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC")
+@plan("fn_sort", "SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey DESC, c_custkey) - 1 AS place FROM customer")
 def _sort(t):
-    return arrays.sort(t("customer").select("c_custkey", "c_acctbal"), ("c_acctbal", -1))
+    return arrays.sort(t("customer").select("c_custkey", "c_nationkey"), ("c_nationkey", -1), order="c_custkey", place="place")
 
 
-@plan("fn_sortby", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_acctbal DESC")
+@plan("fn_sortby", "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY lower(c_mktsegment), c_acctbal DESC, c_custkey) - 1 AS place FROM customer")
 def _sortby(t):
-    return arrays.sort(t("customer"), ("c_mktsegment", 1), ("c_acctbal", -1)).select("c_custkey", "c_mktsegment")
+    return arrays.sort(t("customer"), ("c_mktsegment", 1), ("c_acctbal", -1), order="c_custkey", place="place").select("c_custkey", "c_mktsegment", "place")
+
+
+part("fn_sort_formula", "SUMPRODUCT(SORT(HSTACK(p_size,25,p_retailprice/40),1,-1,TRUE),{1,10,100})", "greatest(p_size,25,p_retailprice/40)+10*(p_size+25+p_retailprice/40-greatest(p_size,25,p_retailprice/40)-least(p_size,25,p_retailprice/40))+100*least(p_size,25,p_retailprice/40)")
+part("fn_filter_formula", "SUM(FILTER(VSTACK(p_size,25,30),VSTACK(p_size>25,TRUE,p_size<40),0))", "25+CASE WHEN p_size>25 THEN p_size ELSE 0 END+CASE WHEN p_size<40 THEN 30 ELSE 0 END")
+part("fn_unique_formula", "ROWS(UNIQUE(VSTACK(MOD(p_size,2),MOD(p_size,3),0)))", "len(list_distinct([p_size%2,p_size%3,0]))")
+part("fn_sortby_formula", "INDEX(SORTBY({1;2;3},VSTACK(p_size,25,p_retailprice/40)),1)", "CASE WHEN p_size<=25 AND p_size<=p_retailprice/40 THEN 1 WHEN 25<=p_retailprice/40 THEN 2 ELSE 3 END")
+part("fn_lookup_kinds", "XLOOKUP(MOD(p_size,3),{0,1},HSTACK(p_name,p_size),NA())", "CASE p_size%3 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS VARCHAR) END", False, errors="CASE WHEN p_size%3=2 THEN '#N/A' END")
+part("fn_vlookup_wild", "VLOOKUP(LEFT(p_brand,5)&\"*\"&RIGHT(p_brand,1),{\"brand~*1\",1;\"Brand#21\",2;\"xBrand#31\",3;\"brand#33\",4;\"BRAND#x2\",5},2,FALSE)", "CASE right(p_brand,1) WHEN '1' THEN 1 WHEN '3' THEN 4 WHEN '2' THEN 5 END", errors="CASE WHEN right(p_brand,1) NOT IN ('1','2','3') THEN '#N/A' END")
+part("fn_xlookup_literal", "XLOOKUP(IF(p_size>25,\"a*\",\"abc\"),{\"abc\",\"a*\"},{1,2})", "CASE WHEN p_size>25 THEN 2 ELSE 1 END")
 
 
 @plan("fn_unique", "SELECT c_mktsegment, c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1, 2")
@@ -453,17 +500,17 @@ def _tocol(t):
     return arrays.to_column(t("supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("double")), ["s_nationkey", "s_acctbal"], "s_suppkey")
 
 
-part("fn_torow", "INDEX(TOROW(VSTACK(HSTACK(p_size,1),{2,3}),0,TRUE),2)", "2")
+part("fn_torow", "SUMPRODUCT(TOROW(VSTACK(HSTACK(p_size,1),{2,3}),0,TRUE),{1,10,100,1000})", "p_size+3120")
 
 
-@plan("fn_vstack", "SELECT n_nationkey AS c1, n_name AS c2, n_regionkey AS c3 FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
+@plan("fn_vstack", "SELECT n_nationkey AS c1, n_name AS c2, n_regionkey AS c3, CAST(NULL AS VARCHAR) AS c1_error, CAST(NULL AS VARCHAR) AS c2_error, CAST(NULL AS VARCHAR) AS c3_error FROM nation UNION ALL SELECT r_regionkey, r_name, NULL, NULL, NULL, '#N/A' FROM region")
 def _vstack(t):
-    return arrays.vstack(t("nation").select("n_nationkey", "n_name", "n_regionkey"), t("region").select("r_regionkey", "r_name"))
+    return arrays.vstack(t("nation").select("n_nationkey", "n_name", "n_regionkey"), t("region").select("r_regionkey", "r_name"), errors=True)
 
 
-@plan("fn_hstack", "SELECT _pos, n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS _pos FROM nation) FULL JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS _pos FROM region) USING (_pos)")
+@plan("fn_hstack", "SELECT _pos, n_name, r_name, CAST(NULL AS VARCHAR) AS left_error, CASE WHEN r_name IS NULL THEN '#N/A' END AS right_error FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS _pos FROM nation) FULL JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS _pos FROM region) USING (_pos)")
 def _hstack(t):
-    return arrays.hstack(t("nation").select("n_name"), [F.col("n_name")], t("region").select("r_name"), [F.col("r_name")])
+    return arrays.hstack(t("nation").select("n_name"), [F.col("n_name")], t("region").select("r_name"), [F.col("r_name")], errors=True)
 
 
 @plan("fn_take", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -494,9 +541,7 @@ def _wraprows(t):
     return arrays.wrap_rows(t("nation"), "n_name", 3, F.col("n_nationkey"))
 
 
-@plan("fn_wrapcols", _WRAP.replace("_row", "_column"))
-def _wrapcols(t):
-    return arrays.wrap_rows(t("nation"), "n_name", 3, F.col("n_nationkey")).withColumnRenamed("_row", "_column")
+part("fn_wrapcols", "SUMPRODUCT(WRAPCOLS(HSTACK(p_size,1,2,3),2),{1,10;100,1000})", "p_size+3120")
 
 
 @plan("fn_chooserows", "SELECT _at, n_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p, row_number() OVER (ORDER BY n_nationkey DESC) AS q FROM nation) JOIN (VALUES (0, 3, 0), (1, 0, 1), (2, 3, 0)) w(_at, a, b) ON p = a OR q = b")
@@ -509,6 +554,19 @@ def _choosecols(t):
     return arrays.choose_columns(t("nation").select("n_nationkey", "n_name", "n_regionkey"), -1, 1)
 
 
+@plan("op_first_error", "SELECT user_id, arg_min(e, event_id) FILTER (e IS NOT NULL) AS v_error FROM (SELECT user_id, event_id, CASE WHEN event_id%5=1 THEN '#N/A' WHEN event_id%7=2 THEN '#DIV/0!' END AS e FROM events) GROUP BY 1")
+def _first_error(t):
+    """The first error of a range, by place."""
+    rows = t("events").select("user_id", "event_id", F.col("event_id").alias(ORDER))
+    return Table(rows).summarise(["user_id"], errors=True, v="SUM(IF(MOD(event_id,5)=1,NA(),IF(MOD(event_id,7)=2,1/0,event_id)))").drop("v")
+
+
+from . import workbook_queries as _books  # noqa: E402
+
+QUERIES |= _books.QUERIES
+SQL |= _books.SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several conditional sums over the largest table in one pass."""
     return QUERIES["op_fused_criteria"](spark, sf_dir)
