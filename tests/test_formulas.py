@@ -25,7 +25,9 @@ GOLDEN = {
     'VALUE("$1,000")': 1000, 'VALUE("16:48:00")': 0.7, 'VALUE("x")': "#VALUE!", 'VALUE("(5)")': -5, 'VALUE("5%")': 0.05, 'TEXT(1234.567,"#,##0.00")': "1,234.57", 'TEXT(0.285,"0.0%")': "28.5%", 'TEXT(40909,"yyyy-mm-dd")': "2012-01-01", 'TEXT(7,"000")': "007", 'TEXT(5,"[red]0")': "#UNSUPPORTED!", 'CONCAT({"a","b"},1)': "ab1", 'TEXTJOIN(", ",TRUE,"a","","b")': "a, b", 'UPPER("é")': "#UNSUPPORTED!",
     "ADDRESS(2,3)": "$C$2", "ADDRESS(2,3,2)": "C$2", "ADDRESS(2,3,2,FALSE)": "R2C[3]", 'ADDRESS(2,3,1,FALSE,"EXCEL SHEET")': "'EXCEL SHEET'!R2C3", "ADDRESS(1,703)": "$AAA$1", "ADDRESS(1,702)": "$ZZ$1", "ADDRESS(0,1)": "#VALUE!", 'HLOOKUP("B",{"A","B";1,2},2,FALSE)': 2, 'LOOKUP(4.2,{1,4,6},{"x","y","z"})': "y", 'XLOOKUP("q",{"a","b"},{1,2},"none")': "none", "XMATCH(4,{1,4,4},0,-1)": 3, "INDEX({1,2;3,4},2,1)": 3, "INDEX({1,2;3,4},3,1)": "#REF!",
     "SEQUENCE(3)": [[1], [2], [3]], "TAKE({1,2,3},,-2)": [[2, 3]], "DROP({1;2;3},1)": [[2], [3]], "EXPAND({1},1,2,0)": [[1, 0]], "WRAPROWS({1,2,3},2)": [[1, 2], [3, "#N/A"]], "WRAPCOLS({1,2,3},2,0)": [[1, 3], [2, 0]], "CHOOSECOLS({1,2,3},-1,1)": [[3, 1]], "CHOOSEROWS({1;2},2)": [[2]], "VSTACK({1,2},3)": [[1, 2], [3, "#N/A"]], "HSTACK({1;2},{3;4})": [[1, 3], [2, 4]], "TOCOL({1,2;3,4})": [[1], [2], [3], [4]], "TOROW({1,2;3,4},0,TRUE)": [[1, 3, 2, 4]],
-    "{1,2}+{10;20}": [[11, 12], [21, 22]], "SCAN(0,{1,2,3},LAMBDA(a,b,a+b))": [[1, 3, 6]], "BYROW({1,2;3,4},LAMBDA(r,SUM(r)))": [[3], [7]], "BYCOL({1,2;3,4},LAMBDA(r,MAX(r)))": [[3, 4]], "LET(x,2,y,x*3,x+y)": 8, "LAMBDA(x,x+1)": "#CALC!", "LAMBDA(x,y,x*y)(3,4)": 12, "LAMBDA(x,x)(1,2)": "#VALUE!", "NOSUCH(1)": "#NAME?", 'WEBSERVICE("u")': "#BLOCKED!", "ROWS({1;2;3})": 3, "COLUMNS({1,2})": 2, "50%": 0.5, "@{7,8}": 7,
+    "{1,2}+{10;20}": [[11, 12], [21, 22]], "SCAN(0,{1,2,3},LAMBDA(a,b,a+b))": [[1, 3, 6]], "BYROW({1,2;3,4},LAMBDA(r,SUM(r)))": [[3], [7]], "BYCOL({1,2;3,4},LAMBDA(r,MAX(r)))": [[3, 4]], "LET(x,2,y,x*3,x+y)": 8, "LAMBDA(x,x+1)": "#CALC!", "LAMBDA(x,y,x*y)(3,4)": 12, "LAMBDA(x,x)(1,2)": "#VALUE!", "NOSUCH(1)": "#NAME?", 'WEBSERVICE("u")': "#BLOCKED!", "ROWS({1;2;3})": 3, 'XLOOKUP("a*",{"abc","a*"},{1,2})': 2, 'VLOOKUP("a~*",{"abc",1;"a*",2},2,FALSE)': 2, 'VLOOKUP("a*",{"xabc",1;"abc",2},2,FALSE)': 2, 'XMATCH("b?d",{"bcd","b?d"})': 2, "SORT({3;1;2})": [[1], [2], [3]], 'SORT({3,"b";1,"a";2,"c"},2,-1)': [[2, "c"], [3, "b"], [1, "a"]], "SORT({3,1,2},1,1,TRUE)": [[1, 2, 3]],
+    "FILTER({1;2;3},{1;0;1})": [[1], [3]], "FILTER({1,2,3},{TRUE,FALSE,TRUE})": [[1, 3]], "FILTER({1;2},{0;0})": [["#CALC!"]], 'FILTER({1;2},{0;0},"none")': [["none"]], "FILTER({1;2},{0;0;1})": [["#VALUE!"]], 'UNIQUE({1;2;1;"a"})': [[1], [2], ["a"]], 'UNIQUE({"a";"A"})': [["#UNSUPPORTED!"]], "UNIQUE({1;2;1},FALSE,TRUE)": [[2]], 'SORTBY({"x";"y";"z"},{1;1;2},-1,{5;4;3})': [["z"], ["y"], ["x"]],
+    "SUM(FILTER({1;2;3},{1;0;1})*2)": 8, 'VLOOKUP(2,SORT({2,"b";1,"a"}),2,FALSE)': "b", "INDEX(SORT({3;1;2}),2)": 2, "TOCOL({1,#N/A;2,3},2)": [[1], [2], [3]], 'IF({TRUE,FALSE},1,"x")': [[1, "x"]], "SUMPRODUCT(SORT({2;1}),{3;4})": 11, 'XLOOKUP(2,SORT({2;1}),{"p";"q"},"no")': "q", "LOOKUP(2.5,SORT({3;2;1}))": 2, "RANK(2,SORT({3;2;1}))": 2, 'COUNT(SORT({3;"x"}))': 1, "OFFSET({1},1,1)": "#UNSUPPORTED!", "COLUMNS({1,2})": 2, "50%": 0.5, "@{7,8}": 7,
     "AND({TRUE,1})": True, 'OR(FALSE,"TRUE")': True, "NOT(0)": True, "MINA({TRUE,5})": 1, 'MAXA({FALSE,-5,"x"})': 0, "COUNT({1,\"2\",TRUE},\"3\")": 2, 'COUNTA({1,"",TRUE})': 3, "MAXIFS({1,5,3},{1,0,1},1)": 3, "AVERAGEIF({1,2,3},\">5\")": "#DIV/0!", "ROUNDUP(-3.14159,1)": -3.2, "ROUNDDOWN(31415.92654,-2)": 31400, "TRUNC(-8.9)": -8, "POWER(5,2)": 25, "SQRT(-1)": "#NUM!", "PI()": math.pi, 'HYPERLINK("u","n")': "n", 'CELL("type","x")': "l",
 }
 
