@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._bitmap import Bitmap
-from ._store import cut, stored, sweep
+from ._store import stored, sweep
 from ._text import U64, Block, blocks, distinct, hash_runs, lists, mix, randoms, rows, shingles, tokens
 from .components import components
 
@@ -36,7 +36,7 @@ ROWS, MISS = 6, 1e-6
 SAMPLES, BITS = 720, 2048
 WORDS = BITS // 64
 #: Of the pairs between two components as many are confirmed at a time, closest first; at last all that are left.
-TRIES = (1, 32, None)
+TRIES = (4, None)
 #: Documents whose samples a task holds at once: some 40 KB each.
 SIGNED = 256
 
@@ -162,7 +162,10 @@ class _Search:
         return both.mapInArrow(run, "a long, b long")
 
     def _join(self, links: DataFrame) -> None:
-        self.links = stored(links if self.links is None else links.union(self.links))
+        fresh = stored(links)
+        if self.links is not None and not fresh.limit(1).count():
+            return
+        self.links = fresh if self.links is None else stored(fresh.union(self.links))
         self.labels = components(self.links)
 
     def _placed(self) -> DataFrame:
@@ -174,7 +177,8 @@ class _Search:
     def star(self, seed: int) -> None:
         """Compares each class with its buckets' pivots and confirms the closest one: what else links them is left to the
         next rounds, so that sets move once for each class."""
-        placed = cut(self._placed())
+        sweep(self.nodes.sparkSession)
+        placed = stored(self._placed())
         rank = F.struct((F.col("node") if not seed else F.xxhash64("node", F.lit(seed))).alias("o"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
         active = placed.groupBy("key").agg(F.min(rank).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "p.pivot", "p.pivot_comp")
         pairs = placed.join(active, "key").filter("comp <> pivot_comp").select(F.col("node").alias("own"), "pivot").distinct()
@@ -185,7 +189,8 @@ class _Search:
 
     def rest(self) -> None:
         """Compares, in buckets that still span components, what lies outside the largest one with everything."""
-        placed = cut(self._placed())
+        sweep(self.nodes.sparkSession)
+        placed = stored(self._placed())
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("top.comp").alias("main"))
         # 32 bits of a key tell which of two classes' bands is the first that they share. As Parquet, in the order of the
@@ -211,7 +216,7 @@ class _Search:
             self._join(self._confirm(stored(open_.select("a", "b"))))
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, stars: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, stars: int = 2) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable), kept (id = component_id).
 
     Rows with equal texts, equal ids or null ids each keep their row. An id that is null counts as the largest; a
@@ -229,7 +234,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     fields = [("c1", "bigint"), ("c2", "bigint"), ("n", "bigint"), ("keys", "array<bigint>"), *[(s, "bigint") for s in _SKETCH]]
     signed = stored(rows(texts, sign, fields, keep=["id"], most=SIGNED))
     grouped = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _SKETCH])
-    nodes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "*"))
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "*"))
 
     search = _Search(nodes, texts, percent, most_bits(percent))
     for seed in range(stars):
