@@ -7,7 +7,9 @@ one). The lowest BITS bits of each bin are packed. Two fingerprints agree on a b
 2**-BITS; `likeness` removes that bias: J = (agreeing - 2**-BITS) / (1 - 2**-BITS).
 
 A text without words has the empty fingerprint "": likeness 1 to another such text and 0 to any other. Null texts
-count as empty.
+count as empty, and texts of any length are read whole. Rows with equal ids and texts are neighbours; an empty table gives
+an empty one. Only id and text are read, so other columns' names can't clash (`fingerprints` keeps them; one of its own
+column's name gives way).
 """
 
 from __future__ import annotations

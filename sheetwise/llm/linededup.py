@@ -15,7 +15,9 @@ that begin or end at one of its lines, so those, two for each line at most, are
 match needs extending, and no lines of other documents are fetched.
 
 Null texts count as empty. Equal ids follow one another by a hash of their texts;
-rows with equal id and text count as one document for each other, and both stay as the first of them does.
+rows with equal id and text count as one document for each other, and both stay as the first of them does. Texts of any
+length are read whole; an empty table gives an empty one; columns that are named like a new one give way, others are
+carried within one struct, so no name can clash.
 """
 
 from __future__ import annotations

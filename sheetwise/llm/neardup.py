@@ -14,6 +14,9 @@ No bucket is expanded into all its pairs. In each round every class of a bucket
 confirmed links join components, and buckets within one component are done. In the buckets that remain, classes
 outside the largest component are compared with the rest, so a group of copies costs its size times its strays.
 The result is exact up to the misses of 1 and 2 (about 1e-6 for a pair right at the threshold).
+
+Null and empty texts have the empty set; texts of any length are read whole; ties go to the least id; an empty table gives
+an empty one. Only id and text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ tokens a window follow at the end. So does the last token or two of a queue. Win
 full one is cut into powers of two, so nothing is padded.
 
 Null and empty texts have the end id alone. A null source is a queue of its own, "". Each row is a document of its own,
-whatever its id. Order within a queue: by input partition, then row.
+whatever its id. Order within a queue: by input partition, then row. Texts of any length are encoded whole; an empty table
+gives an empty one; only id, text and source are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -180,7 +180,7 @@ def train(texts: list[str], y: list[int], langs: list[str | None], seed: int = 7
 
 
 def held_out(id: str):
-    return F.crc32(F.col(id).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", most: int = MOST_ROWS) -> Classifier | None:
@@ -188,7 +188,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).filter(~held_out(id)).groupBy(id).agg(F.max(label).alias("y"))
     picked = [known.filter(F.col("y") == c).orderBy(F.xxhash64(F.col(id)), id).limit(most) for c in (0, 1)]
     sample = df.select(id, text, lang).join(picked[0].union(picked[1]), id).select(id, text, lang, "y").toPandas()
-    sample = sample.drop_duplicates(id).sort_values(id)
+    sample = sample.sort_values([id, text], na_position="first").drop_duplicates(id)
     return train(sample[text].fillna("").tolist(), sample["y"].tolist(), [x if isinstance(x, str) else None for x in sample[lang]])
 
 
