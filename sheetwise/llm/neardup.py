@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ._bitmap import Bitmap
 from ._store import stored, sweep
-from ._text import U64, Block, blocks, distinct, hash_runs, lists, mix, randoms, rows, shingles, tokens
+from ._text import U64, Block, blocks, distinct, hash_runs, lists, mix, randoms, rows, shingles, tidy, tokens
 from .components import components
 
 ROWS, MISS = 6, 1e-6
@@ -118,7 +118,6 @@ class _Search:
         self.buckets = stored(banded.join(shared, "key"))  # only what two classes share
         self.sketches = nodes.select("node", *_SKETCH)
         self.sets = self._sets(texts)
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def _sets(self, texts: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ class _Search:
             for batch in batches:
                 yield batch.filter(pa.array(ids.perhaps(batch.column(2).to_numpy()))).select([0, 1])
 
-        likely = texts.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(pick, "id long, text string")  # other texts needn't move
+        likely = texts.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(tidy(pick), "id long, text string")  # other texts needn't move
         found = likely.join(wanted, likely["id"].eqNullSafe(wanted["rep"])).select("node", "c1", "c2", "text")
 
         def run(batches):
@@ -141,7 +140,7 @@ class _Search:
                 same = np.flatnonzero((c1 == col("c1")) & (c2 == col("c2")))
                 yield pa.RecordBatch.from_arrays([pa.array(col("node")[same]), pa.array([h[first[d] : first[d + 1]].tobytes() for d in same], pa.binary())], names=["node", "set"])
 
-        return stored(found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
+        return stored(found.mapInArrow(tidy(run), "node long, set binary").dropDuplicates(["node"]))
 
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold on their full sets."""
@@ -162,14 +161,22 @@ class _Search:
                         keep.append(i)
                 yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-        return both.mapInArrow(run, "a long, b long")
+        return both.mapInArrow(tidy(run), "a long, b long")
 
     def _join(self, links: DataFrame) -> None:
+        """Takes new links into the components: only links between what are components already go on, as links of those."""
         fresh = stored(links)
-        if self.links is not None and not fresh.limit(1).count():
+        if self.labels is None:
+            self.labels = components(fresh)
+            return
+        if not fresh.limit(1).count():
             return
-        self.links = fresh if self.links is None else stored(fresh.union(self.links))
-        self.labels = components(self.links)
+        ends = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
+        known = stored(self.labels.unionByName(ends.join(self.labels, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+        of = lambda n: known.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+        lifted = fresh.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        top = components(lifted).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        self.labels = stored(known.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
     def _placed(self) -> DataFrame:
         """The buckets (key, band, node, comp)."""
