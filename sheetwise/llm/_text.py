@@ -68,6 +68,16 @@ def release() -> None:
         pass
 
 
+def tidy(fn):
+    """fn(batches) for mapInArrow; what its last batch needed is given back once it has ended, as the worker stays."""
+
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return run
+
+
 def small_batches(spark) -> None:
     """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES, where they are higher."""
     conf = "spark.sql.execution.arrow."
@@ -210,4 +220,4 @@ def rows(df, fn, fields: list[tuple[str, str]], text: str = "text", keep: list[s
 
     need = list(dict.fromkeys([*keep, text]))
     small_batches(df.sparkSession)
-    return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in need]).mapInArrow(tidy(run), schema)

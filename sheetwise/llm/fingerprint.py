@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import parts_for
-from ._text import U64, Block, block, blocks, hash_runs, mix, per_document, rows, shingles, small_batches, tokens
+from ._text import U64, Block, block, blocks, hash_runs, mix, per_document, rows, shingles, small_batches, tidy, tokens
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _ROUTES: np.ndarray | None = None
@@ -170,4 +170,4 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", p
                 held = held[-1:]
         yield from flush(held)
 
-    return _ordered(src, parts).mapInArrow(run, PAIR_FIELDS)
+    return _ordered(src, parts).mapInArrow(tidy(run), PAIR_FIELDS)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap
 from ._store import stored
-from ._text import U64, Block, blocks, hash_runs, lists, mix, randoms, tokens
+from ._text import U64, Block, blocks, hash_runs, lists, mix, randoms, tidy, tokens
 
 GRAM, WIN, MIN_WORDS = 2, 2, 8
 _NEWLINE = np.zeros(256, bool)
@@ -129,7 +129,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words:
             doc, line, h = fingerprints(lines, gram, win)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_numbers(batch, "id")[doc]), pa.array(_numbers(batch, "digest")[doc]), pa.array(line)], names=["fp", "id", "digest", "line"])
 
-    prints = stored(docs.mapInArrow(scan, "fp long, id long, digest long, line long"))
+    prints = stored(docs.mapInArrow(tidy(scan), "fp long, id long, digest long, line long"))
     firsts = prints.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("id", "digest", "line")).alias("f")).filter("m > 1").select("fp", F.col("f.id").alias("fid"), F.col("f.digest").alias("fdigest"), F.col("f.line").alias("fline"))
     same = (F.col("id") == F.col("fid")) & (F.col("digest") == F.col("fdigest")) & (F.col("line") == F.col("fline"))
     shift = (F.col("line") - F.col("fline")).alias("shift")
@@ -145,7 +145,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words:
             hashes, words = lists(lines.hash.view(np.int64), lines.first, pa.int64()), lists(lines.words, lines.first, pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array(_numbers(batch, c)).take(hit) for c in ("id", "digest")], hashes.take(hit), words.take(hit)], names=["id", "digest", "lines", "words"])
 
-    lines = stored(docs.mapInArrow(read, "id long, digest long, lines array<long>, words array<long>").dropDuplicates(["id", "digest"]))
+    lines = stored(docs.mapInArrow(tidy(read), "id long, digest long, lines array<long>, words array<long>").dropDuplicates(["id", "digest"]))
     fetched = met.join(lines, ["id", "digest"]).join(lines.select(F.col("id").alias("fid"), F.col("digest").alias("fdigest"), F.col("lines").alias("flines")), ["fid", "fdigest"])
 
     def match(batches):
@@ -165,7 +165,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, win: int = WIN, min_words:
             c = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["id", "digest", "lo", "hi"])
 
-    return fetched.select("id", "digest", "shift", "words", "lines", "flines", "at").mapInArrow(match, "id long, digest long, lo long, hi long")
+    return fetched.select("id", "digest", "shift", "words", "lines", "flines", "at").mapInArrow(tidy(match), "id long, digest long, lo long, hi long")
 
 
 def all_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,7 +176,7 @@ def all_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             doc, lo, hi, h = windows(Lines(b), min_words)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_numbers(batch, "id")[doc]), pa.array(_numbers(batch, "digest")[doc]), pa.array(lo), pa.array(hi)], names=["fp", "id", "digest", "lo", "hi"])
 
-    prints = stored(docs.mapInArrow(scan, "fp long, id long, digest long, lo long, hi long"))
+    prints = stored(docs.mapInArrow(tidy(scan), "fp long, id long, digest long, lo long, hi long"))
     firsts = stored(prints.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("id", "digest", "lo")).alias("f")).filter("m > 1").select("fp", "f"))
     return prints.join(firsts, "fp").filter(F.struct("id", "digest", "lo") > F.col("f")).select("id", "digest", "lo", "hi")
 
@@ -207,7 +207,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int
             n = np.diff(Lines(b).first)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(owners.perhaps(_numbers(batch, "key"))), pa.array(n)], names=["row", "id", "digest", "hit", "n_lines"])
 
-    marked = src.mapInArrow(mark, f"row {row_type}, id long, digest long, hit boolean, n_lines long")
+    marked = src.mapInArrow(tidy(mark), f"row {row_type}, id long, digest long, hit boolean, n_lines long")
     clear = marked.filter(~F.col("hit")).select("row.*", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.col("row")[text].alias("clean_text"))
     hit = marked.filter("hit").join(runs, (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_d")), "left").select("row", "n_lines", "_lo", "_hi")
 
@@ -233,6 +233,6 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int
                 texts.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(texts, pa.string())], names=["row", *new])
 
-    done = hit.mapInArrow(cut, f"row {row_type}, n_lines long, n_removed long, n_runs long, clean_text string").select("row.*", *new)
+    done = hit.mapInArrow(tidy(cut), f"row {row_type}, n_lines long, n_removed long, n_runs long, clean_text string").select("row.*", *new)
     return clear.unionByName(done)
 

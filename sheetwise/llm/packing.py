@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._text import blocks
+from ._text import blocks, tidy
 from ._tokens import encoder
 
 LENGTH, WINDOW = 2048, 32 * 2048
@@ -165,7 +165,7 @@ def tokenised(df: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             raw = [ids[first[d] : first[d + 1]].tobytes() + end for d in range(b.n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.n, part), pa.int32()), batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("source")), pa.array(n), pa.array(at), pa.array(raw, pa.binary())], names=["part", "id", "source", "n", "at", "ids"])
 
-    return stored(df.mapInArrow(run, "part int, id long, source string, n long, at long, ids binary"), "zstd")
+    return stored(df.mapInArrow(tidy(run), "part int, id long, source string, n long, at long, ids binary"), "zstd")
 
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
@@ -203,6 +203,6 @@ def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", sourc
             cols = list(zip(*out, strict=True)) if out else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    placed = ids.join(bases.select("part", "source", "base"), ["part", "source"]).select("id", "source", "n", "at", "base", "ids").mapInArrow(run, PIECES)
+    placed = ids.join(bases.select("part", "source", "base"), ["part", "source"]).select("id", "source", "n", "at", "base", "ids").mapInArrow(tidy(run), PIECES)
     placed = placed.withColumnRenamed("id", id)
     return placed if with_ids else placed.drop("ids")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap
 from ._store import parts_for, stored
-from ._text import U64, Block, blocks, hash_runs, mix, randoms, tokens
+from ._text import U64, Block, blocks, hash_runs, mix, randoms, tidy, tokens
 
 #: Runs of one anchor that a task compares: some 4 MB of text.
 LENGTH, MOST_RUNS, WORDS = 400, 8192, 51
@@ -291,7 +291,7 @@ class _Repeats:
                 doc = r["doc"][hit]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(seg[hit]), _ids(batch).take(pa.array(doc)), pa.array(_numbers(batch, "digest")[doc]), pa.array(r["at"][hit]), pa.array(r["n"][hit])], names=["anchor", "seg", "id", "digest", "at", "n"])
 
-        return self.docs.mapInArrow(run, "anchor long, seg long" if wanted is None else "anchor long, seg long, id long, digest long, at long, n long")
+        return self.docs.mapInArrow(tidy(run), "anchor long, seg long" if wanted is None else "anchor long, seg long, id long, digest long, at long, n long")
 
     def intervals(self) -> DataFrame:
         """(id, digest, s, e): bytes to remove; they may overlap."""
@@ -325,7 +325,7 @@ class _Repeats:
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([_ids(batch).take(hit), pa.array(_numbers(batch, "digest")).take(hit), batch.column(batch.schema.get_field_index("text")).take(hit)], names=["id", "digest", "text"])
 
-        found = self.docs.mapInArrow(texts, "id long, digest long, text string").withColumnRenamed("id", "tid").withColumnRenamed("digest", "td")
+        found = self.docs.mapInArrow(tidy(texts), "id long, digest long, text string").withColumnRenamed("id", "tid").withColumnRenamed("digest", "td")
         joined = wanted.join(found, (F.col("id").eqNullSafe(F.col("tid"))) & (F.col("digest") == F.col("td"))).select("anchor", "seg", "m", "runs", "id", "digest", "at", "n", "o", "text")
 
         def cut_out(batches):
@@ -335,7 +335,7 @@ class _Repeats:
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(9)] + [pa.array(bits, pa.binary())], names=[*batch.schema.names[:9], "bytes"])
 
         schema = "anchor long, seg long, m long, runs long, id long, digest long, at long, n long, o long, bytes binary"
-        pieces = stored(joined.mapInArrow(cut_out, schema).dropDuplicates(["anchor", "seg"]))  # equal rows of the corpus give one piece
+        pieces = stored(joined.mapInArrow(tidy(cut_out), schema).dropDuplicates(["anchor", "seg"]))  # equal rows of the corpus give one piece
         small, large = pieces.filter(F.col("runs") <= self.most_runs), pieces.filter(F.col("runs") > self.most_runs)
         parts = parts_for(pieces)
 
@@ -359,7 +359,7 @@ class _Repeats:
             yield from _compare(held, length, keep)
 
         out = "id long, digest long, s long, e long"
-        near = small.repartition(parts, "anchor").sortWithinPartitions(F.col("anchor")).mapInArrow(compare, out)
+        near = small.repartition(parts, "anchor").sortWithinPartitions(F.col("anchor")).mapInArrow(tidy(compare), out)
         return near.unionByName(self._counted(large))
 
     def _counted(self, large: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ class _Repeats:
                 at = batch.column(batch.schema.get_field_index("at")).to_numpy()[piece] + step
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(hashes)], names=["anchor", "m", "id", "digest", "o", "at", "window"])
 
-        windows = large.mapInArrow(explode, "anchor long, m long, id long, digest long, o long, at long, window long")
+        windows = large.mapInArrow(tidy(explode), "anchor long, m long, id long, digest long, o long, at long, window long")
         order = F.struct("o", "digest", "at")
         seen = windows.groupBy("anchor", "window").agg(F.count("*").alias("k"), F.min(order).alias("least")).filter("k > 1")
         hit = windows.join(seen, ["anchor", "window"])
@@ -395,7 +395,7 @@ def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), pa.array(r["seg"].view(np.int64)), pa.array(_numbers(batch, "key")[r["doc"]])], names=["anchor", "seg", "own"])
 
     other = F.min("own") != F.max("own")
-    again = stored(docs.mapInArrow(anchors, "anchor long, seg long, own long").groupBy("anchor").agg(other.alias("other"), (F.min("seg") != F.max("seg")).alias("mixed")).filter("other").select("anchor", "mixed"))
+    again = stored(docs.mapInArrow(tidy(anchors), "anchor long, seg long, own long").groupBy("anchor").agg(other.alias("other"), (F.min("seg") != F.max("seg")).alias("mixed")).filter("other").select("anchor", "mixed"))
     mixed = again.filter("mixed")
     known, differ = Bitmap(again, "anchor", again.count()), Bitmap(mixed, "anchor", mixed.count())
 
@@ -415,7 +415,7 @@ def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
             n = np.concatenate([r["n"][whole], np.ones(len(doc) - len(whole), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(own[doc]), _ids(batch).take(pa.array(doc)), pa.array(digest[doc]), pa.array(n)], names=["what", "own", "id", "digest", "n"])
 
-    met = stored(docs.mapInArrow(candidates, "what long, own long, id long, digest long, n long").groupBy("what", "own", "id", "digest").agg(F.sum("n").alias("n")))
+    met = stored(docs.mapInArrow(tidy(candidates), "what long, own long, id long, digest long, n long").groupBy("what", "own", "id", "digest").agg(F.sum("n").alias("n")))
     both = met.groupBy("what").agg(other.alias("other")).filter("other").select("what")
     return met.join(both, "what").groupBy("id", "digest").agg(F.sum("n").alias("n"))
 
@@ -466,7 +466,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
             body = [b.text(d).decode() if hit[d] or texts else None for d in range(b.n)]
             yield pa.RecordBatch.from_arrays([_ids(batch), pa.array(_numbers(batch, "digest")), pa.array(np.diff(b.start)), pa.array(sha, pa.string()), pa.array(body, pa.string())], names=["id", "digest", "n_bytes", "sha", "text"])
 
-    ready = docs.mapInArrow(prepare, "id long, digest long, n_bytes long, sha string, text string")
+    ready = docs.mapInArrow(tidy(prepare), "id long, digest long, n_bytes long, sha string, text string")
     shared = F.coalesce("n", F.lit(0)) if words else F.lit(None)
     both = ready.join(spans, F.col("id").eqNullSafe(F.col("si")) & (F.col("digest") == F.col("sd")), "left").select("id", "n_bytes", "sha", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"), shared.cast("long").alias("n"))
 
@@ -491,5 +491,5 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
             kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=[f.split()[0] for f in OUT.split(", ")])
 
-    out = both.mapInArrow(finish, OUT).withColumnRenamed("id", id)
+    out = both.mapInArrow(tidy(finish), OUT).withColumnRenamed("id", id)
     return out if texts else out.drop("kept_text")
