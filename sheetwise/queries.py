@@ -245,7 +245,7 @@ _APPROXIMATE = "SELECT c_custkey, s_acctbal AS bracket, s_suppkey AS supplier FR
 
 @plan("fn_lookup", _APPROXIMATE)
 def _lookup(t):
-    return lookup.approximate(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", t("supplier"), "s_acctbal", {"bracket": "s_acctbal", "supplier": "s_suppkey"}).drop("c_acctbal")
+    return lookup.approximate(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", t("supplier"), "s_acctbal", {"bracket": "s_acctbal", "supplier": "s_suppkey"}, order="s_suppkey").drop("c_acctbal")
 
 
 @plan("fn_vlookup_approximate", "SELECT event_id, o_orderdate AS day FROM events ASOF LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS o_orderdate, epoch(o_orderdate) AS t0 FROM orders) ON epoch(ts) >= t0")
