@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import MOST_CELLS, Arr, Compiler, Grid, Lambda, Rng, grid_of, packed
 from .criteria import matches
-from .scalar import VALUES, bad, bind, date_of, numbers, text_of, trunc, weekdays_between, whole
+from .scalar import VALUES, address, bad, bind, date_of, numbers, text_of, trunc, weekdays_between, whole
 from .values import Unsupported, Val, choose, error, first_error, lit, logical, num, text, to_bool, to_number, to_text
 
 FUNCTIONS: dict[str, tuple[int, int | None, str, Callable]] = {n: (a, b, "value", f) for n, (a, b, f) in VALUES.items()}
@@ -1151,6 +1151,13 @@ _size("ROWS", 0)
 _size("COLUMNS", 1)
 
 
+@tree("ADDRESS", 2, 5)
+def _address(c, args, env):
+    """A sheet ends at row 2^20, a table has as many rows as it has."""
+    rows = 1 << 53 if c.df is not None else 1_048_576
+    return c.lift(lambda *vals: address(*vals, rows=rows), [c.compile(a, env) for a in args])
+
+
 @tree("ROW", 0, 1)
 def _row(c, args, env):
     """The row's place in the table, from its order column."""

@@ -638,12 +638,12 @@ def letters(column: Column) -> Column:
     return F.concat(F.when(k > 702, sign(third)).otherwise(""), F.when(k > 26, sign(second)).otherwise(""), sign(first))
 
 
-@value("ADDRESS", 2, 5)
-def _address(row, column, kind=None, a1=None, sheet=None):
+def address(row, column, kind=None, a1=None, sheet=None, rows: int = 1_048_576):
+    """The text of a reference; rows: as many as there may be."""
     (r, c, k), e = numbers(row, column, lit(1) if kind is None or kind.blank else kind)
     r, c, k = trunc(r), trunc(c), trunc(k)
     style, se = to_bool(lit(True) if a1 is None or a1.blank else a1)
-    row_text, col_text = r.cast("int").cast("string"), c.cast("int").cast("string")
+    row_text, col_text = r.cast("bigint").cast("string"), c.cast("int").cast("string")
     fixed_row, fixed_col = k.isin(1.0, 2.0), k.isin(1.0, 3.0)
     dollar = lambda on: F.when(on, F.lit("$")).otherwise("")
     plain = F.concat(dollar(fixed_col), letters(F.least(c, F.lit(16384.0))), dollar(fixed_row), row_text)
@@ -654,7 +654,7 @@ def _address(row, column, kind=None, a1=None, sheet=None):
         name, te = to_text(sheet)
         simple = name.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*$")
         out = F.concat(F.when(simple, name).otherwise(F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'"))), F.lit("!"), out)
-    return text(out, first_error(e, se, te, bad((r < 1) | (c < 1) | (r > 1_048_576) | (c > 16_384) | ~k.isin(1.0, 2.0, 3.0, 4.0), "#VALUE!")))
+    return text(out, first_error(e, se, te, bad((r < 1) | (c < 1) | (r > rows) | (c > 16_384) | ~k.isin(1.0, 2.0, 3.0, 4.0), "#VALUE!")))
 
 
 def format_number(x: Column, pattern: str) -> Column | None:

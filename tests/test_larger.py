@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from sheetwise import queries
+from sheetwise.table import evaluate
 from test_queries import rows
 
 
@@ -25,3 +26,9 @@ def equal(spark, tmp_path):
 def test_lookup_takes_the_last_of_equal_keys(equal):
     supplier = "SELECT i AS s_suppkey, CAST(i % 7 AS DOUBLE) AS s_acctbal FROM range(500) t(i)"
     equal("fn_lookup", supplier=supplier, customer="SELECT i AS c_custkey, i / 10 - 1 AS c_acctbal FROM range(100) t(i)")
+
+
+def test_address_beyond_the_rows_of_a_sheet(spark, equal):
+    equal("fn_address", part="SELECT 1048570 + i * i * i AS p_partkey, CAST(1 + i % 50 AS INTEGER) AS p_size FROM range(2000) t(i)")
+    assert evaluate(spark, "ADDRESS(1048576,1)") == "$A$1048576"
+    assert evaluate(spark, "ADDRESS(1048577,1)") == "#VALUE!"  # a sheet has no such row
