@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import MOST_CELLS, Arr, Compiler, Grid, Lambda, Rng, grid_of, packed
 from .criteria import matches
-from .scalar import VALUES, address, bad, bind, date_of, numbers, text_of, trunc, weekdays_between, whole
+from .scalar import VALUES, address, bad, bind, date_of, datevalue, numbers, text_of, trunc, weekdays_between, whole
 from .values import Unsupported, Val, choose, error, first_error, lit, logical, num, text, to_bool, to_number, to_text
 
 FUNCTIONS: dict[str, tuple[int, int | None, str, Callable]] = {n: (a, b, "value", f) for n, (a, b, f) in VALUES.items()}
@@ -667,6 +667,12 @@ def _holidays(c, args, env, at: int) -> tuple[Column, Column | None]:
     return F.array_distinct(F.filter(days, lambda d: (d + 5) % 7 < 5)), e
 
 
+@tree("DATEVALUE", 1, 1)
+def _datevalue(c, args, env):
+    got = c.compile(args[0], env)
+    return c.lift(lambda v: datevalue(v, c.once if isinstance(got, Val) else bind), [got])
+
+
 @tree("NETWORKDAYS", 2, 3)
 def _networkdays(c, args, env):
     (a, b), e = numbers(c.value(args[0], env), c.value(args[1], env))

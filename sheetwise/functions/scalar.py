@@ -391,9 +391,9 @@ def _date(year, month, day):
     return bound(s, e, lambda s: bad(F.coalesce((s < 0) | (s > LAST_DAY), F.lit(True))))
 
 
-def bound(col: Column, err: Column | None, refuse: Callable[[Column], Column]) -> Val:
+def bound(col: Column, err: Column | None, refuse: Callable[[Column], Column], once: Callable[..., Column] = bind) -> Val:
     """A number and what refuses it, from one evaluation of the number."""
-    both = bind(lambda x: F.struct(x.alias("x"), refuse(x).alias("e")), col)
+    both = once(lambda x: F.struct(x.alias("x"), refuse(x).alias("e")), col)
     return num(both["x"], first_error(err, both["e"]), False)
 
 
@@ -407,11 +407,9 @@ def _serial_of_parts(y: Column, m: Column, d: Column) -> Column:
     return bind(of, F.when((y >= 0) & (y < 1900), y + 1900).otherwise(y) * 12 + m - 1, d)
 
 
-@value("DATEVALUE", 1)
-def _datevalue(v):
+def datevalue(v, once: Callable[..., Column] = bind):
     s, e = to_text(v)
-    got = F.floor(parse_date(F.trim(s))).cast("double")
-    return num(got, first_error(e, bad(got.isNull(), "#VALUE!")), False)
+    return bound(F.floor(parse_date(F.trim(s), once)).cast("double"), e, lambda x: bad(x.isNull(), "#VALUE!"), once)
 
 
 @value("HOUR", 1)

@@ -118,11 +118,14 @@ def bind(fn: Callable[..., Column], *cols: Column) -> Column:
 _NUMBER = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)?(\.\d*)?([eE][+-]?\d+)?$"
 
 
-def parse_date(s: Column) -> Column:
+def parse_date(s: Column, once: Callable[..., Column] = bind) -> Column:
     """A serial from date text in one of the pinned forms, else null."""
+    return once(lambda at: of_column(at, "timestamp").n, once(_parse_date, s))
+
+
+def _parse_date(s: Column) -> Column:
     tries = [F.try_to_timestamp(s, F.lit(p)) for p in ("M/d/yyyy", "yyyy-M-d", "d-MMM-yyyy", "MMM d, yyyy", "M/d/yyyy H:m", "yyyy-M-d H:m:s")]
-    safe = F.when(s.rlike(r"^\d{1,4}[-/]|^\d{1,2}-[A-Za-z]{3}-|^[A-Za-z]{3} \d"), F.coalesce(*tries)).cast("timestamp_ntz")
-    return of_column(safe, "timestamp").n
+    return F.when(s.rlike(r"^\d{1,4}[-/]|^\d{1,2}-[A-Za-z]{3}-|^[A-Za-z]{3} \d"), F.coalesce(*tries)).cast("timestamp_ntz")
 
 
 def parse_number(s: Column) -> Column:
@@ -167,6 +170,11 @@ def general(x: Column) -> Column:
 
 def _general(x: Column) -> Column:
     """General format: 15 significant digits, plain where all of them lie between 10^19 and 10^-18."""
+    short = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.try_cast("bigint").cast("string"))
+    return F.coalesce(short, _general_long(x))
+
+
+def _general_long(x: Column) -> Column:
     sci = F.format_string("%.14e", F.abs(x))
     digits = F.regexp_replace(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), "0+$", "")
     e = F.substring(sci, 18, 5).try_cast("int")
@@ -178,9 +186,8 @@ def _general_of(x: Column, digits: Column, e: Column) -> Column:
     whole = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")))
     plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).when(k <= e + 1, whole).otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, k)))
     science = F.concat(F.substring(digits, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise(""), F.lit("E"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    short = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.try_cast("bigint").cast("string"))
     body = F.when((e <= 19) & (e - k + 1 >= -18), plain).otherwise(science)
-    return F.when(x == 0, F.lit("0")).otherwise(F.coalesce(short, F.concat(F.when(x < 0, "-").otherwise(""), body)))
+    return F.concat(F.when(x < 0, "-").otherwise(""), body)
 
 
 def to_text(v: Val) -> tuple[Column, Column | None]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import GENUINE, SENTINELS, Unsupported, Val, choose, compare, error, first_error, guarded, lit, num, of_column, text, to_number, to_text
+from ..functions.values import GENUINE, SENTINELS, Unsupported, Val, bind, choose, compare, error, first_error, guarded, lit, num, of_column, text, to_number, to_text
 from .parser import parse
 
 MOST_CELLS = 1 << 20
@@ -214,6 +214,10 @@ class Compiler:
         as an expression would otherwise hold those that it is made of many times over."""
         return x
 
+    def once(self, fn: Callable[..., Column], *cols: Column) -> Column:
+        """fn of columns that are computed once a row; not for those inside of arrays."""
+        return bind(fn, *cols)
+
     def lift(self, fn: Callable[..., Val], args: list):
         """A function of single values over arrays and ranges."""
         ranges = [a for a in args if isinstance(a, Rng)]
@@ -284,6 +288,24 @@ class Compiler:
         return df
 
 
+@dataclass
+class RowCompiler(Compiler):
+    """Formulas of one table's rows: what `once` computes are columns, made one after the other, so that Spark's generated
+    code does it; `bind` is interpreted, with all that it is made of."""
+
+    steps: list[dict[str, Column]] = field(default_factory=list)
+
+    def once(self, fn, *cols):
+        made = {f"_once{len(self.steps)}_{i}": c for i, c in enumerate(cols)}
+        self.steps.append(made)
+        return fn(*[F.col(name) for name in made])
+
+    def joined(self, df: DataFrame) -> DataFrame:
+        for made in self.steps:
+            df = df.withColumns(made)
+        return df
+
+
 def binary(op: str, a: Val, b: Val) -> Val:
     if op in ("=", "<>", "<", "<=", ">", ">="):
         return compare(op, a, b)
@@ -309,4 +331,4 @@ def power(x: Column, y: Column, err: Column | None) -> Val:
     return num(F.when((x < 0) & odd, -F.pow(-x, y)).otherwise(F.pow(x, y)), first_error(err, bad))
 
 
-__all__ = ["GENUINE", "LANES", "SENTINELS", "Arr", "Compiler", "Grid", "Lambda", "Rng", "binary", "choose", "grid_of", "guarded", "packed"]
+__all__ = ["GENUINE", "LANES", "SENTINELS", "Arr", "Compiler", "Grid", "Lambda", "Rng", "RowCompiler", "binary", "choose", "grid_of", "guarded", "packed"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import Val, error_of, result
-from .plans.compiler import Arr, Compiler, Grid, grid_of, packed
+from .plans.compiler import Arr, Compiler, Grid, RowCompiler, grid_of, packed
 from .plans.parser import parse
 
 
@@ -29,8 +29,11 @@ class Table:
         """The columns `keep` and a column for each formula, row by row. With errors, <name>_error beside each. A formula
         whose values are of several kinds gives them as text; with typed, each column is a struct with a field for each
         kind (n, s, b, err), of which one at most is set."""
-        c = Compiler(self.df, self.tables, self.names)
+        c = RowCompiler(self.df, self.tables, self.names)
         vals = {k: c.formula(f) for k, f in formulas.items()}
+        if c.reduced:  # what a row's columns hold can't be named where other tables are reduced
+            c = Compiler(self.df, self.tables, self.names)
+            vals = {k: c.formula(f) for k, f in formulas.items()}
         return c.joined(self.df).select(*keep, *_named(formulas, vals, errors, typed))
 
     def summarise(self, by: list[str] | None = None, errors: bool = False, typed: bool = False, **formulas: str) -> DataFrame:
