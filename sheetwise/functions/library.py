@@ -358,7 +358,13 @@ def _sumproduct(c, args, env):
         grids = [grid_of(g if isinstance(g, (Grid, Arr)) else Arr([[c.scalar(g)]])) for g in got]
         differ = reduce(lambda a, b: a | b, [(_col(g.height) != _col(grids[0].height)) | (_col(g.width) != _col(grids[0].width)) for g in grids])
         made = c.lift_grids(zero, grids)
-        return num(_total(made.each(lambda v: v.n)), first_error(bad(differ, "#VALUE!"), _first(made.each(lambda v: v.err))))
+
+        def total(cells):
+            g = Grid(cells, made.height, made.width)
+            return F.struct(_total(g.each(lambda v: v.n)).alias("n"), _first(g.each(lambda v: v.err)).alias("err"))
+
+        done = c.once(lambda x: x, c.once(total, made.cells))
+        return num(done["n"], first_error(bad(differ, "#VALUE!"), done["err"]))
     arrays = [g if isinstance(g, Arr) else Arr([[c.scalar(g)]]) for g in got]
     if len({a.shape for a in arrays}) > 1:
         return error("#VALUE!")
@@ -1292,7 +1298,7 @@ def _lines(g: Grid) -> Column:
 def _turned(g: Grid) -> Grid:
     """Rows and columns exchanged."""
     h, w = _col(g.height).cast("int"), _col(g.width).cast("int")
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), w - 1), lambda j: F.transform(_lines(g), lambda r: F.get(r, j))))
+    cells = bind(lambda lines, w: F.flatten(F.transform(F.sequence(F.lit(0), w - 1), lambda j: F.transform(lines, lambda r: F.get(r, j)))), _lines(g), w)
     return Grid(cells, w, h, g.lanes)
 
 
@@ -1359,14 +1365,53 @@ def _filter(c, args, env):
     return _sized(cells, height, width, err)
 
 
+#: Arrays of known size up to so many cells are sorted by Spark's generated code.
+FEW = 64
+
+
+def _sort_few(c, rows: list[list[Val]], flip: bool, k: Column, ke: Column | None, way: Column, we: Column | None) -> Grid:
+    """SORT of lines of known number and length. Descending, what has to stay ascending (blanks last, ties in their order)
+    is negated."""
+    of = grid_of(Arr(rows))
+
+    def line(cells):
+        return c.once(lambda cells, key: F.struct(cells.alias("line"), _key_of(of.val(key)).alias("key"), key["err"].alias("err")), cells, F.get(cells, k - 1))
+
+    def item(x, i, down):
+        gone = F.when(x["key"]["k"] == 9, 1).otherwise(0)
+        return F.struct((-gone if down else gone).alias("gone"), x["key"].alias("key"), F.lit(-i if down else i).alias("at"), x["line"].alias("line"))
+
+    def arranged(*lines):
+        side = [F.sort_array(F.array(*[item(x, i, down) for i, x in enumerate(lines)]), not down) for down in (False, True)]
+        return F.when(way < 0, side[1]).otherwise(side[0])
+
+    def cells(order):
+        at = lambda i, j: F.get(F.get(order, F.lit(i))["line"], F.lit(j))
+        h, w = len(rows), len(rows[0])
+        return F.array(*([at(i, j) for j in range(w) for i in range(h)] if flip else [at(i, j) for i in range(h) for j in range(w)]))
+
+    def both(*lines):
+        failed = F.coalesce(*[x["err"] for x in lines])
+        return F.struct(c.once(cells, arranged(*lines)).alias("cells"), failed.alias("err"))
+
+    done = c.once(both, *[c.once(line, F.array(*[packed(v) for v in r])) for r in rows])
+    err = first_error(ke, we, bad((k < 1) | (k > len(rows[0])), "#VALUE!"), done["err"] if "e" in of.lanes else None)
+    height, width = (len(rows[0]), len(rows)) if flip else (len(rows), len(rows[0]))
+    return _sized(done["cells"], height, width, err, of.lanes)
+
+
 @tree("SORT", 1, 4)
 def _sort(c, args, env):
-    g = _grid(c, args[0], env)
+    got = c.compile(args[0], env)
+    if isinstance(got, Rng):
+        raise Unsupported("rows of a table: see operators.arrays")
     flip = _flag(c, _at(args, 3), env)
-    g = _turned(g) if flip else g
     k, ke = to_number(c.value(args[1], env)) if len(args) > 1 and args[1][0] != "omit" else (F.lit(1.0), None)
     k = trunc(k).cast("int")
     way, we = _way(c, _at(args, 2), env)
+    if isinstance(got, Arr) and len(got.cells()) <= FEW:
+        return _sort_few(c, [list(r) for r in zip(*got.rows, strict=True)] if flip else got.rows, flip, k, ke, way, we)
+    g = _turned(grid_of(got)) if flip else grid_of(got)
     lines = _lines(g)
     cell = lambda r: g.val(F.get(r, k - 1))
     err = first_error(ke, we, bad((k < 1) | (k > _col(g.width)), "#VALUE!"), _first(F.transform(lines, lambda r: F.get(r, k - 1)["err"])) if "e" in g.lanes else None)

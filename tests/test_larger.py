@@ -45,3 +45,19 @@ def test_datevalue_reads_a_text_once(spark, equal):
     assert [tuple(r) for r in df.orderBy("o_orderkey").collect()] == [(0, 40544.0, None), (1, 40582.0, None), (2, None, "#VALUE!")]
     assert _size(df) < 100_000
     equal("fn_datevalue", orders="SELECT i * 5 AS o_orderkey, i * 3 AS o_custkey FROM range(1000) t(i)")
+
+
+def test_sort_of_few_cells_isnt_unrolled_again_and_again(spark, equal):
+    part = spark.createDataFrame([(1, 3.0, "b"), (2, None, "B"), (3, 0.0, None)], "k long, x double, s string")
+    got = lambda f: [r.v for r in Table(part).select("k", v=f).orderBy("k").collect()]
+    text = lambda way: f'TEXTJOIN("|",FALSE,SORT(HSTACK(x,s,2,"a",TRUE),1,{way},TRUE))'
+    assert got(text(1)) == ["2|3|a|b|TRUE", "2|a|B|TRUE|", "0|2|a|TRUE|"]
+    assert got(text(-1)) == ["TRUE|b|a|3|2", "TRUE|B|a|2|", "TRUE|a|2|0|"]
+    ties = 'TEXTJOIN("|",FALSE,SORT({{"q",1;"P",2;"Q",3;"p",4}},1,{}))&LEFT(s,0)'
+    assert got(ties.format(1))[0] == "P|2|p|4|q|1|Q|3"
+    assert got(ties.format(-1))[0] == "q|1|Q|3|P|2|p|4"
+    assert got("IFERROR(INDEX(SORT(HSTACK(1/x,5),1,1,TRUE),1,1),-1)") == [1 / 3, -1, -1]
+    assert got("IFERROR(INDEX(SORT(HSTACK(x,5),3),1,1),-1)") == [-1, -1, -1]
+    formula = "SUMPRODUCT(SORT(HSTACK(x,25,x/40),1,-1,TRUE),{1,10,100})"
+    assert _size(Table(part).select("k", v=formula)) < 20_000
+    equal("fn_sort_formula", part="SELECT i AS p_partkey, i % 50 AS p_size, 900 + i / 10 AS p_retailprice FROM range(1000) t(i)")
