@@ -12,7 +12,8 @@ no words: the empty set, linked with nothing). Documents with equal sets form a
 
 No bucket is expanded into all its pairs. In each round every class of a bucket is compared with one pivot of it,
 confirmed links join components, and buckets within one component are done. In the buckets that remain, classes
-outside the largest component are compared with the rest, so a group of copies costs its size times its strays.
+outside the largest component are compared with the rest, the closest pairs first, in steps between which confirmed links
+join components, so a group of copies costs its size times its strays.
 The result is exact up to the misses of 1 and 2 (about 1e-6 for a pair right at the threshold).
 
 Null and empty texts have the empty set; texts of any length are read whole; ties go to the least id; an empty table gives
@@ -40,6 +41,8 @@ SAMPLES, BITS = 720, 2048
 WORDS = BITS // 64
 #: Of the pairs between two components as many are confirmed at a time, closest first; at last all that are left.
 TRIES = (4, None)
+#: The rest is compared in steps of rising counts, up to so many standard deviations: what a step links isn't compared again.
+STEPS = (-1.5, 0, 1.5)
 #: Documents whose samples a task holds at once: some 40 KB each.
 SIGNED = 256
 
@@ -49,14 +52,14 @@ def bands_for(percent: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - t**ROWS)))
 
 
-def most_bits(percent: int) -> int:
+def most_bits(percent: int, deviations: float = 5) -> int:
     """The largest population count of a pair's XOR that the threshold allows, with five standard deviations: of the
     number of differing samples, and of the bits that meet."""
     t = percent / 100
     balls = 2 * SAMPLES * (1 - t)
     odd = lambda m: BITS / 2 * (1 - (1 - 2 / BITS) ** m)
     sampled = odd(balls + 2 * math.sqrt(SAMPLES * t * (1 - t))) - odd(balls)
-    return math.ceil(odd(balls) + 5 * math.hypot(sampled, balls * math.sqrt(2 / BITS)))
+    return math.ceil(odd(balls) + deviations * math.hypot(sampled, balls * math.sqrt(2 / BITS)))
 
 
 def document_sets(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +201,16 @@ class _Search:
         self._join(self._confirm(stored(nearest.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct())))
 
     def rest(self) -> None:
-        """Compares, in buckets that still span components, what lies outside the largest one with everything."""
+        """Compares, in buckets that still span components, what lies outside the largest one with everything: the closest
+        pairs first, so that of a group of copies few are left apart when it comes to the many that are less close."""
+        done = -1
+        for limit in sorted({min(max(most_bits(self.percent, z), 0), self.limit) for z in STEPS} | {self.limit}):
+            if not self._rest(done, limit):
+                return
+            done = limit
+
+    def _rest(self, done: int, limit: int) -> bool:
+        """rest for the pairs that differ in more than `done` bits and `limit` at most; False if no bucket spans components."""
         sweep(self.nodes.sparkSession)
         placed = stored(self._placed())
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
@@ -207,23 +219,29 @@ class _Search:
         # classes, each class's numbers are kept once, however many buckets it is in.
         short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
         rows_ = stored(placed.join(main, "key").select("key", "band", "node", "comp", "main").join(self.nodes.select("node", short, *_SKETCH), "node").sortWithinPartitions("node"))
+        if not rows_.limit(1).count():
+            return False
         sweep(self.nodes.sparkSession)
         x, y = rows_.filter("comp <> main").alias("x"), rows_.alias("y")
         once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
         # a pair that shares several bands comes out of the first
         first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
         apart = _apart("x", "y")
-        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & (apart <= self.limit) & first)
-        left = stored(close.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), apart.alias("d")).distinct())
-        for most in TRIES:
-            side = lambda n: F.coalesce(F.col(f"c{n}.comp"), F.col(n))
-            at = left.join(self.labels.alias("ca"), F.col("a") == F.col("ca.node"), "left").join(self.labels.alias("cb"), F.col("b") == F.col("cb.node"), "left")
-            open_ = at.select("a", "b", "d", F.least(side("a"), side("b")).alias("lo"), F.greatest(side("a"), side("b")).alias("hi")).filter("lo <> hi")
+        close = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & apart.between(done + 1, limit) & first)
+        ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), apart.alias("d"), F.least("x.comp", "y.comp").alias("lo"), F.greatest("x.comp", "y.comp").alias("hi")]
+        left = stored(close.select(*ends).distinct())
+        for i, most in enumerate(TRIES):
+            open_ = left
+            if i:  # the first time, the components are those of the search
+                side = lambda n: F.coalesce(F.col(f"c{n}.comp"), F.col(n))
+                at = left.join(self.labels.alias("ca"), F.col("a") == F.col("ca.node"), "left").join(self.labels.alias("cb"), F.col("b") == F.col("cb.node"), "left")
+                open_ = at.select("a", "b", "d", F.least(side("a"), side("b")).alias("lo"), F.greatest(side("a"), side("b")).alias("hi")).filter("lo <> hi")
             if most:
                 best = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("d", "a", "b"))
                 open_ = stored(open_.withColumn("k", best))
                 left, open_ = open_.filter(F.col("k") > most).select("a", "b", "d"), open_.filter(F.col("k") <= most)
             self._join(self._confirm(stored(open_.select("a", "b"))))
+        return True
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, stars: int = 2) -> DataFrame:
